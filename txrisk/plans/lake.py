@@ -17,8 +17,8 @@ class Layer:
     folder: str
     schema: StructType
     partitions: tuple[str, ...] = ()
-    # Rows of a file are kept in this order, so that a lookup by the first
-    # column skips most row groups by their statistics.
+    # Rows are kept in this order within a partition, so that a lookup by the
+    # first column skips most files and pages by their statistics.
     sorted_by: tuple[str, ...] = ()
     # Columns with a Bloom filter, for lookups the order does not help.
     looked_up: tuple[str, ...] = ()
@@ -47,16 +47,18 @@ LAYERS = (BRONZE_USERS, BRONZE_TRANSACTIONS, SILVER, ALERTS, DATA_QUALITY)
 def write_layer(df: DataFrame, root: str, layer: Layer) -> None:
     """Replace the layer below ``root``.
 
-    Partitioned layers are rebalanced by their partition columns first: without
-    that, every task would leave one small file in every partition. A partition
-    with a large part of the rows is split over several tasks, each of which
-    writes files of the advisory partition size.
+    Without a shuffle every task would leave one small file in every partition.
+    Layers that are looked up are cut into even ranges of their partition
+    columns and sort order, so that a lookup opens few files. The others are
+    rebalanced by their partition columns. Either way a partition with a large
+    part of the rows is spread over several tasks and files.
     """
     rows = df.select(*layer.schema.names)
-    if layer.partitions:
-        rows = rows.hint("rebalance", *layer.partitions).sortWithinPartitions(
-            *layer.partitions, *layer.sorted_by
-        )
+    order = layer.partitions + layer.sorted_by
+    if layer.sorted_by:
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    elif layer.partitions:
+        rows = rows.hint("rebalance", *layer.partitions)
     writer = rows.write.mode("overwrite").partitionBy(*layer.partitions)
     for name in layer.looked_up:
         writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
