@@ -34,11 +34,6 @@ def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     return F.asin(half) * (2 * EARTH_RADIUS_KM)
 
 
-def epoch_seconds(ts: Column) -> Column:
-    """Whole seconds since 1970, rounded down."""
-    return F.unix_seconds(ts)
-
-
 def on_or_after(day: Column, ts: Column, bound: Column) -> Column:
     """Date bound on ``day``, or on the date of ``ts`` where ``day`` is null.
 

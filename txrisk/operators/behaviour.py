@@ -16,10 +16,10 @@ Two ways to the same columns:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.functions.columns import epoch_seconds, great_circle_km
+from txrisk.functions.columns import great_circle_km
 from txrisk.operators.skew import ROWS_PER_TASK, HotKeys, find_hot_keys
 from txrisk.schemas import FEATURES, TRANSACTIONS
 from txrisk.session import materialize
@@ -35,18 +35,20 @@ BURST_TXNS_1H = 5
 # ties, so that a recomputed task orders them as before.
 TIME_ORDER = ("txn_ts", "txn_id", "amount", "txn_country", "device", "attempts")
 
-# The previous transaction's context: output column -> source column.
-PREVIOUS = {
-    "prev_country": "txn_country",
-    "prev_city": "txn_city",
-    "prev_lat": "lat",
-    "prev_lon": "lon",
-    "prev_txn_ts": "txn_ts",
-    "prev_device": "device",
-}
-
-# Slices of hot users, and hence the size of the table of slice states that is
-# broadcast. Beyond it slices grow instead; a sort in a slice can spill.
+# Led by the second, which follows from the timestamp: the range frames need it
+# as their only order, and so share the sort of the row frames.
+TIMELINE = ", ".join(("epoch", *TIME_ORDER))
+
+BEFORE = "rows between unbounded preceding and 1 preceding"
+
+# The context handed to the next transaction.
+CONTEXT = (
+    "struct(txn_country as prev_country, txn_city as prev_city, lat as prev_lat, "
+    "lon as prev_lon, txn_ts as prev_txn_ts, device as prev_device)"
+)
+
+# Most slices of hot users, and hence the bound on the slice states that are
+# broadcast. Beyond it slices grow instead; the sort in a slice can spill.
 MAX_SLICES = 20_000
 
 
@@ -61,98 +63,81 @@ def add_features(
     if hot is None:
         hot = find_hot_keys(txns, "user_id", rows_per_task)
     if hot:
-        ordinary = _whole_users(hot.without(txns, "user_id"))
-        sliced = _sliced_users(hot.only(txns, "user_id"), hot, rows_per_task)
-        history = ordinary.unionByName(sliced)
+        history = _whole_users(hot.without(txns, "user_id")).unionByName(
+            _sliced_users(hot.only(txns, "user_id"), hot, rows_per_task)
+        )
     else:
         history = _whole_users(txns)
-    return _derive(history).select(*TRANSACTIONS.names, *FEATURES.names)
+    return _derive(history)
 
 
 # -- shared pieces ---------------------------------------------------------
 
 
-def _context() -> Column:
-    return F.struct(*[F.col(source).alias(name) for name, source in PREVIOUS.items()])
+def _with_epoch(txns: DataFrame) -> DataFrame:
+    return txns.selectExpr("*", "unix_seconds(txn_ts) as epoch")
 
 
-def _epochs(df: DataFrame) -> DataFrame:
-    return df.withColumn("epoch", epoch_seconds(F.col("txn_ts")))
-
-
-def _country_stays(df: DataFrame, *group: str) -> DataFrame:
+def _with_country_stays(df: DataFrame, group: str) -> DataFrame:
     """Mark where a country enters and leaves a user's trailing 24 hours.
 
     Transactions of one country no more than 24 h apart form one stay. A stay
     counts from its first second until 24 h after its last one, so the distinct
-    countries at any time are the stays begun minus the stays expired.
-    The country is in the sort order, not in the partition key ``group``, so that
-    this window shares the shuffle of the others.
+    countries at any time are the stays begun minus the stays expired. Rows
+    without a time sort first and form a stay of their own.
+
+    The country is in the sort order, not in the partition key ``group``, so
+    that this window shares the shuffle of the others.
     """
-    seen = Window.partitionBy(*group).orderBy("txn_country", "epoch")
-    gap_before = F.col("epoch") - F.lag("epoch").over(seen)
-    gap_after = F.lead("epoch").over(seen) - F.col("epoch")
-    # Rows without a time sort first and form a stay of their own.
-    continues = F.lag("txn_country").over(seen).eqNullSafe(F.col("txn_country")) & F.coalesce(
-        gap_before <= DAY, F.col("epoch").isNull()
-    )
-    continued = F.lead("txn_country").over(seen).eqNullSafe(F.col("txn_country")) & F.coalesce(
-        gap_after <= DAY, F.lead("epoch").over(seen).isNull()
-    )
-    counted = F.col("txn_country").isNotNull()
-    return df.withColumns(
-        {
-            # A first or last row compares with nothing: null, not "continues".
-            "stay_begins": counted & ~F.coalesce(continues, F.lit(False)),
-            "stay_ends": counted & ~F.coalesce(continued, F.lit(False)),
-        }
+    seen = f"over (partition by {group} order by txn_country, epoch)"
+
+    def apart(neighbour: str, gap: str) -> str:
+        return (
+            f"not ({neighbour}(txn_country) {seen} <=> txn_country and "
+            f"coalesce({gap} <= {DAY}, {neighbour}(epoch) {seen} is null and epoch is null))"
+        )
+
+    begins = apart("lag", f"epoch - lag(epoch) {seen}")
+    ends = apart("lead", f"lead(epoch) {seen} - epoch")
+    return df.selectExpr(
+        "*",
+        f"int(txn_country is not null and {begins}) as stay_begins",
+        f"int(txn_country is not null and {ends}) as stay_ends",
     )
 
 
-def _trailing(timeline, begun: Column, expired: Column, seconds: int) -> Column:
+def _trailing(group: str, begun: str, expired: str, seconds: int) -> str:
     """Sum of ``begun`` up to now less ``expired`` up to ``seconds`` + 1 ago."""
-    up_to_now = timeline.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    before = timeline.rangeBetween(Window.unboundedPreceding, -(seconds + 1))
-    past = F.when(F.col("epoch").isNotNull(), F.coalesce(F.sum(expired).over(before), F.lit(0)))
-    return F.sum(begun).over(up_to_now) - F.coalesce(past, F.lit(0))
+    frame = f"over (partition by {group} order by epoch range between unbounded preceding and"
+    return (
+        f"sum({begun}) {frame} current row) - "
+        f"if(epoch is null, 0, coalesce(sum({expired}) {frame} {seconds + 1} preceding), 0))"
+    )
 
 
-def _as_count(flag: Column) -> Column:
-    return F.when(flag, 1).otherwise(0).cast("bigint")
+def _with_trailing_figures(df: DataFrame, group: str, counted: str) -> DataFrame:
+    countries = _trailing(group, "stay_begins", "stay_ends", DAY)
+    return df.selectExpr(
+        "*",
+        f"{_trailing(group, counted, counted, HOUR)} as txns_1h",
+        f"int({countries}) as countries_24h",
+    )
 
 
 # -- ordinary users --------------------------------------------------------
 
 
 def _whole_users(txns: DataFrame) -> DataFrame:
-    marked = _country_stays(_epochs(txns), "user_id")
-    # Ordering by the second first costs nothing (it follows the timestamp) and
-    # lets the range frames, which need that single key, reuse this sort.
-    timeline = Window.partitionBy("user_id").orderBy("epoch", *TIME_ORDER)
-    before = timeline.rowsBetween(Window.unboundedPreceding, -1)
-    seconds = Window.partitionBy("user_id").orderBy("epoch")
-    one = _as_count(F.col("txn_id").isNotNull())
-    return (
-        marked.withColumns(
-            {
-                "prev": F.lag(_context()).over(timeline),
-                "hist_avg_amount": F.avg("amount").over(before),
-                "hist_std_amount": F.stddev_samp("amount").over(before),
-            }
-        )
-        .withColumns(
-            {
-                "txns_1h": _trailing(seconds, one, one, HOUR),
-                "countries_24h": _trailing(
-                    seconds,
-                    _as_count(F.col("stay_begins")),
-                    _as_count(F.col("stay_ends")),
-                    DAY,
-                ).cast("int"),
-            }
-        )
-        .drop("epoch", "stay_begins", "stay_ends")
+    timeline = f"partition by user_id order by {TIMELINE}"
+    marked = _with_country_stays(_with_epoch(txns), "user_id")
+    with_past = marked.selectExpr(
+        "*",
+        f"lag({CONTEXT}) over ({timeline}) as prev",
+        f"avg(amount) over ({timeline} {BEFORE}) as hist_avg_amount",
+        f"stddev_samp(amount) over ({timeline} {BEFORE}) as hist_std_amount",
     )
+    figures = _with_trailing_figures(with_past, "user_id", "int(txn_id is not null)")
+    return figures.drop("epoch", "stay_begins", "stay_ends")
 
 
 # -- hot users -------------------------------------------------------------
@@ -163,62 +148,43 @@ def _sliced_users(txns: DataFrame, hot: HotKeys, rows_per_task: int) -> DataFram
     # The slice number exists only once the range shuffle has run, and a second
     # run could cut elsewhere, so it is stored before anything builds on it.
     stored = materialize(
-        _epochs(txns)
+        _with_epoch(txns)
         .repartitionByRange(slices, "user_id", *TIME_ORDER)
         .withColumn("slice", F.spark_partition_id()),
         "sliced-users",
     )
     state = _state_before_slice(stored)
-    if slices + hot.keys <= MAX_SLICES * 2:
+    # One row per slice and user in it: each hot user adds at most one to the slices.
+    if slices + hot.keys <= 2 * MAX_SLICES:
         state = F.broadcast(state)
-    clock = _clock_figures(stored)
-
-    timeline = Window.partitionBy("slice", "user_id").orderBy("epoch", *TIME_ORDER)
-    before = timeline.rowsBetween(Window.unboundedPreceding, -1)
-    local = stored.withColumns(
-        {
-            "local_prev": F.lag(_context()).over(timeline),
-            "local_n": F.count("amount").over(before),
-            "local_mean": F.avg("amount").over(before),
-            "local_var": F.var_pop("amount").over(before),
-        }
-    )
-    joined = local.join(
-        state,
-        F.col("slice").eqNullSafe(F.col("at_slice"))
-        & F.col("user_id").eqNullSafe(F.col("at_user")),
-    ).drop("at_slice", "at_user")
-    n, mean, m2 = _merge_moments(
-        (F.col("state_n"), F.col("state_mean"), F.col("state_m2")),
-        (F.col("local_n"), F.col("local_mean"), F.col("local_var") * F.col("local_n")),
+
+    timeline = f"partition by slice, user_id order by {TIMELINE}"
+    local = stored.selectExpr(
+        "*",
+        f"lag({CONTEXT}) over ({timeline}) as local_prev",
+        f"count(amount) over ({timeline} {BEFORE}) as local_n",
+        f"avg(amount) over ({timeline} {BEFORE}) as local_mean",
+        f"var_pop(amount) over ({timeline} {BEFORE}) as local_var",
     )
-    with_history = joined.withColumns(
-        {
-            "prev": F.coalesce("local_prev", "state_prev"),
-            "hist_avg_amount": F.when(n > 0, mean),
-            "hist_std_amount": F.when(n > 1, F.sqrt(m2 / (n - 1))),
-        }
-    ).drop(
-        "local_prev", "local_n", "local_mean", "local_var",
-        "state_prev", "state_n", "state_mean", "state_m2",
+    in_slice = "slice <=> at_slice and user_id <=> at_user"
+    joined = local.join(state, F.expr(in_slice)).drop("at_slice", "at_user")
+    # Moments of two disjoint sets of amounts, put together.
+    merged = joined.selectExpr(
+        "*",
+        "state_n + local_n as n",
+        "coalesce(local_mean, 0) - coalesce(state_mean, 0) as delta",
+    ).selectExpr(
+        "*",
+        "if(n > 0, coalesce(state_mean, 0) + delta * local_n / n, null) as hist_avg_amount",
+        "if(n > 1, sqrt((coalesce(state_m2, 0) + coalesce(local_var * local_n, 0) "
+        "+ delta * delta * state_n * local_n / n) / (n - 1)), null) as hist_std_amount",
+        "coalesce(local_prev, state_prev) as prev",
     )
-    return with_history.join(
-        clock,
-        F.col("slice").eqNullSafe(F.col("at_slice"))
-        & F.col("user_id").eqNullSafe(F.col("at_user"))
-        & F.col("epoch").eqNullSafe(F.col("at_epoch")),
-    ).drop("slice", "epoch", "at_slice", "at_user", "at_epoch")
-
-
-def _merge_moments(a, b):
-    """Count, mean and squared deviations of two disjoint sets of amounts."""
-    (n_a, mean_a, m2_a), (n_b, mean_b, m2_b) = (
-        tuple(F.coalesce(part, F.lit(0)) for part in side) for side in (a, b)
+    in_second = f"{in_slice} and epoch <=> at_epoch"
+    return merged.join(_clock_figures(stored), F.expr(in_second)).select(
+        *TRANSACTIONS.names, "prev", "hist_avg_amount", "hist_std_amount", "txns_1h",
+        "countries_24h",
     )
-    n = n_a + n_b
-    size = F.when(n > 0, n)
-    delta = mean_b - mean_a
-    return n, mean_a + delta * n_b / size, m2_a + m2_b + delta * delta * n_a * n_b / size
 
 
 def _state_before_slice(stored: DataFrame) -> DataFrame:
@@ -228,50 +194,38 @@ def _state_before_slice(stored: DataFrame) -> DataFrame:
     rows long.
     """
     per_slice = stored.groupBy("slice", "user_id").agg(
-        F.max_by(_context(), F.struct("epoch", *TIME_ORDER)).alias("last"),
-        F.count("amount").alias("n"),
-        F.avg("amount").alias("mean"),
-        (F.var_pop("amount") * F.count("amount")).alias("m2"),
+        F.expr(f"max_by({CONTEXT}, struct({TIMELINE})) as last"),
+        F.expr("count(amount) as n"),
+        F.expr("avg(amount) as mean"),
+        F.expr("var_pop(amount) * count(amount) as m2"),
     )
-    slices = Window.partitionBy("user_id").orderBy("slice")
-    earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
+    slices = "partition by user_id order by slice"
+    earlier = f"over ({slices} {BEFORE})"
     # Means are taken relative to the user's first one, which keeps the squares
     # small next to the deviations they are subtracted from.
-    relative = F.col("mean") - F.col("origin")
-    return (
-        per_slice.withColumn(
-            "origin",
-            F.first("mean", ignorenulls=True).over(
-                slices.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            ),
-        )
-        .withColumns(
-            {
-                "state_prev": F.lag("last").over(slices),
-                "state_n": F.sum("n").over(earlier),
-                "shift": F.sum(F.col("n") * relative).over(earlier),
-                "square": F.sum(F.col("n") * relative * relative).over(earlier),
-                "within": F.sum("m2").over(earlier),
-            }
-        )
-        .select(
-            F.col("slice").alias("at_slice"),
-            F.col("user_id").alias("at_user"),
-            "state_prev",
-            "state_n",
-            F.when(
-                F.col("state_n") > 0, F.col("origin") + F.col("shift") / F.col("state_n")
-            ).alias("state_mean"),
-            F.when(
-                F.col("state_n") > 0,
-                F.greatest(
-                    F.lit(0.0),
-                    F.col("within")
-                    + F.col("square")
-                    - F.col("shift") * F.col("shift") / F.col("state_n"),
-                ),
-            ).alias("state_m2"),
-        )
+    shifted = per_slice.selectExpr(
+        "*",
+        f"first(mean, true) over ({slices} rows between unbounded preceding "
+        "and unbounded following) as origin",
+    ).selectExpr("*", "mean - origin as shift")
+    sums = shifted.selectExpr(
+        "slice as at_slice",
+        "user_id as at_user",
+        f"lag(last) over ({slices}) as state_prev",
+        f"coalesce(sum(n) {earlier}, 0) as state_n",
+        "origin",
+        f"sum(n * shift) {earlier} as moved",
+        f"sum(n * shift * shift) {earlier} as spread",
+        f"sum(m2) {earlier} as within",
+    )
+    return sums.selectExpr(
+        "at_slice",
+        "at_user",
+        "state_prev",
+        "state_n",
+        "if(state_n > 0, origin + moved / state_n, null) as state_mean",
+        "if(state_n > 0, greatest(0, within + spread - moved * moved / state_n), null) "
+        "as state_m2",
     )
 
 
@@ -283,40 +237,25 @@ def _clock_figures(stored: DataFrame) -> DataFrame:
     which covers every look-back.
     """
     ticks = stored.groupBy("user_id", "epoch", "txn_country").agg(F.count("txn_id").alias("n"))
-    day = F.floor(F.col("epoch") / DAY)
-    with_next_day = F.when(day.isNull(), F.array(day)).otherwise(F.array(day, day + 1))
-    days = ticks.withColumn("day", F.explode(with_next_day))
-    seconds = Window.partitionBy("day", "user_id").orderBy("epoch")
+    days = ticks.selectExpr("*", f"floor(epoch / {DAY}) as own_day").selectExpr(
+        "*",
+        "explode(if(own_day is null, array(own_day), array(own_day, own_day + 1))) as day",
+    )
+    marked = _with_country_stays(days, "day, user_id")
     figures = (
-        _country_stays(days, "day", "user_id")
-        .withColumns(
-            {
-                "txns_1h": _trailing(seconds, F.col("n"), F.col("n"), HOUR),
-                "countries_24h": _trailing(
-                    seconds,
-                    _as_count(F.col("stay_begins")),
-                    _as_count(F.col("stay_ends")),
-                    DAY,
-                ).cast("int"),
-            }
-        )
-        .filter(day.eqNullSafe(F.col("day")))
+        _with_trailing_figures(marked, "day, user_id", "n")
+        .filter("day <=> own_day")
         .groupBy("day", "user_id", "epoch")
         .agg(F.max("txns_1h").alias("txns_1h"), F.max("countries_24h").alias("countries_24h"))
-        .drop("day")
     )
     # Joined by way of the distinct seconds of each slice: a crowded second is
     # spread over its slices instead of meeting in one join group.
-    per_slice = stored.select(
-        F.col("slice").alias("at_slice"),
-        F.col("user_id").alias("at_user"),
-        F.col("epoch").alias("at_epoch"),
+    seconds = stored.selectExpr(
+        "slice as at_slice", "user_id as at_user", "epoch as at_epoch"
     ).distinct()
-    return per_slice.join(
-        figures,
-        F.col("at_user").eqNullSafe(F.col("user_id"))
-        & F.col("at_epoch").eqNullSafe(F.col("epoch")),
-    ).drop("user_id", "epoch")
+    return seconds.join(figures, F.expr("at_user <=> user_id and at_epoch <=> epoch")).select(
+        "at_slice", "at_user", "at_epoch", "txns_1h", "countries_24h"
+    )
 
 
 # -- row-local features ----------------------------------------------------
@@ -324,31 +263,31 @@ def _clock_figures(stored: DataFrame) -> DataFrame:
 
 def _derive(history: DataFrame) -> DataFrame:
     """Travel figures and flags; no shuffle, no window."""
-    gap = epoch_seconds(F.col("txn_ts")) - epoch_seconds(F.col("prev_txn_ts"))
     distance = great_circle_km(
-        F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon")
+        F.col("prev.prev_lat"), F.col("prev.prev_lon"), F.col("lat"), F.col("lon")
     )
-    # Speed uses the rounded figures, and there is none without elapsed time.
-    hours = F.when(F.col("mins_since_prev") > 0, F.col("mins_since_prev") / 60)
-    burst = F.col("mins_since_prev").between(0, BURST_MINUTES)
-    return (
-        history.select("*", "prev.*")
-        .drop("prev")
-        .withColumns(
-            {
-                "mins_since_prev": F.round(gap / 60, 2),
-                "km_since_prev": F.round(distance, 2),
-            }
-        )
-        .withColumns(
-            {
-                "kmh_since_prev": F.round(F.col("km_since_prev") / hours, 2),
-                "is_high_amount": F.col("amount") > F.col("avg_ticket") * HIGH_AMOUNT_FACTOR,
-                "is_new_device": F.col("device") != F.col("primary_device"),
-                "is_new_country": (F.col("txn_country") != F.col("home_country"))
-                & F.col("prev_country").isNotNull(),
-                # Null on a user's first transaction unless the hour is crowded.
-                "is_abnormal_freq": burst | (F.col("txns_1h") >= BURST_TXNS_1H),
-            }
-        )
+    travelled = history.select(
+        "*",
+        "prev.*",
+        F.expr("round((unix_seconds(txn_ts) - unix_seconds(prev.prev_txn_ts)) / 60, 2)").alias(
+            "mins_since_prev"
+        ),
+        F.round(distance, 2).alias("km_since_prev"),
+    )
+    derived = {
+        # Speed uses the rounded figures, and there is none without elapsed time.
+        "kmh_since_prev": (
+            "round(km_since_prev / if(mins_since_prev > 0, mins_since_prev / 60, null), 2)"
+        ),
+        "is_high_amount": f"amount > avg_ticket * {HIGH_AMOUNT_FACTOR}",
+        "is_new_device": "device <> primary_device",
+        "is_new_country": "txn_country <> home_country and prev_country is not null",
+        # Null on a user's first transaction unless the hour is crowded.
+        "is_abnormal_freq": (
+            f"mins_since_prev between 0 and {BURST_MINUTES} or txns_1h >= {BURST_TXNS_1H}"
+        ),
+    }
+    names = TRANSACTIONS.names + FEATURES.names
+    return travelled.selectExpr(
+        *[f"{derived[name]} as {name}" if name in derived else name for name in names]
     )
