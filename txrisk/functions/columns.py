@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,16 +24,15 @@ REASON_LABELS = {
 def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Haversine distance. Null if any coordinate is null.
 
-    The half-chord is clamped to 1: rounding can push it just above for
-    antipodes, and ``asin`` would turn that into NaN, which compares greater
-    than every speed limit.
+    Rounding can push the half-chord of antipodes just above 1, where ``asin``
+    is NaN, which would compare greater than every speed limit. They are half a
+    turn apart.
     """
     north = F.sin(F.radians(lat2 - lat1) / 2)
     east = F.sin(F.radians(lon2 - lon1) / 2)
     chord = north * north + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * east * east
-    half = F.sqrt(chord)
-    half = F.when(half > 1.0, F.lit(1.0)).otherwise(half)
-    return F.asin(half) * (2 * EARTH_RADIUS_KM)
+    half_angle = F.nanvl(F.asin(F.sqrt(chord)), F.lit(math.pi / 2))
+    return half_angle * (2 * EARTH_RADIUS_KM)
 
 
 def on_or_after(day: Column, ts: Column, bound: Column) -> Column:

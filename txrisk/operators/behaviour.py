@@ -275,10 +275,9 @@ def _derive(history: DataFrame) -> DataFrame:
         F.round(distance, 2).alias("km_since_prev"),
     )
     derived = {
-        # Speed uses the rounded figures, and there is none without elapsed time.
-        "kmh_since_prev": (
-            "round(km_since_prev / if(mins_since_prev > 0, mins_since_prev / 60, null), 2)"
-        ),
+        # Speed uses the rounded figures. Rows follow in time, so the minutes are
+        # never negative, and without elapsed time there is no speed.
+        "kmh_since_prev": "round(try_divide(km_since_prev, mins_since_prev / 60), 2)",
         "is_high_amount": f"amount > avg_ticket * {HIGH_AMOUNT_FACTOR}",
         "is_new_device": "device <> primary_device",
         "is_new_country": "txn_country <> home_country and prev_country is not null",

@@ -24,6 +24,8 @@ LOWEST_LEVEL = "LOW"
 LEVELS = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
 ALERT_LEVELS = ["MEDIUM", "HIGH", "CRITICAL"]
 DECISIONS = ["APPROVE", "REVIEW", "BLOCK"]
+LEVEL_DECISIONS = {"CRITICAL": "BLOCK", "HIGH": "REVIEW", "MEDIUM": "REVIEW"}
+OTHER_DECISION = "APPROVE"
 
 
 def rules() -> list[Rule]:
@@ -53,18 +55,23 @@ def reasons_of(active: list[Rule]) -> Column:
     )
 
 
-def level_of(score: Column) -> Column:
-    level = F.lit(LOWEST_LEVEL)
-    for name, floor in reversed(LEVEL_FLOORS):
-        level = F.when(score >= floor, name).otherwise(level)
-    return level
+# Level and decision are looked up rather than compared step by step. A filter on
+# them that Spark moves below the projections repeats the whole score, travel
+# figures included, wherever their expression names it; this way that is once.
 
 
-def decision_of(level: Column) -> Column:
-    return (
-        F.when(level == "CRITICAL", "BLOCK").when(level.isin(ALERT_LEVELS), "REVIEW")
-        .otherwise("APPROVE")
-    )
+def level_of(score: str) -> Column:
+    names = []
+    for value in range(MAX_SCORE + 1):
+        reached = [level for level, floor in LEVEL_FLOORS if value >= floor]
+        names.append(reached[0] if reached else LOWEST_LEVEL)
+    table = ", ".join(f"'{name}'" for name in names)
+    return F.expr(f"element_at(array({table}), {score} + 1)")
+
+
+def decision_of(level: str) -> Column:
+    table = ", ".join(f"'{name}', '{decision}'" for name, decision in LEVEL_DECISIONS.items())
+    return F.expr(f"coalesce(try_element_at(map({table}), {level}), '{OTHER_DECISION}')")
 
 
 def add_risk(features: DataFrame) -> DataFrame:
@@ -73,8 +80,8 @@ def add_risk(features: DataFrame) -> DataFrame:
         features.withColumns(
             {"risk_score": score_of(active), "risk_reasons": reasons_of(active)}
         )
-        .withColumn("risk_level", level_of(F.col("risk_score")))
-        .withColumn("decision", decision_of(F.col("risk_level")))
+        .withColumn("risk_level", level_of("risk_score"))
+        .withColumn("decision", decision_of("risk_level"))
     )
 
 
