@@ -5,7 +5,6 @@ import re
 import pytest
 from conftest import SF_DIR
 
-import __spark_entry__ as contract
 from txrisk.operators import profiles, serving
 from txrisk.operators.behaviour import add_features
 from txrisk.plans import pipeline
@@ -51,13 +50,6 @@ def test_one_flag_needs_no_window(spark, stored):
     assert "prev" not in plan
 
 
-def test_no_python_and_no_nested_loop(spark):
-    for name, query in contract.queries().items():
-        plan = plan_of(query(spark, SF_DIR))
-        for unwanted in ("Python", "Pandas", "NestedLoop", "CartesianProduct"):
-            assert unwanted not in plan, (name, unwanted)
-
-
 def test_latest_rows_are_cut_before_the_shuffle(spark, stored):
     enriched = materialize(pipeline.enrich(stored, shop.HotKeys()), "enriched")
     for df in (serving.latest_per_user(enriched), profiles.all_profiles(enriched)):

@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from txrisk.operators.behaviour import add_features
 from txrisk.operators.quality import quality_report, require_pass
 from txrisk.operators.scoring import ALERT_LEVELS, add_risk
-from txrisk.operators.skew import HotKeys, find_hot_keys
+from txrisk.operators.skew import ROWS_PER_TASK, HotKeys
 from txrisk.plans import lake
 from txrisk.session import materialize
 
 
-def enrich(txns: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+def enrich(
+    txns: DataFrame, hot: HotKeys | None = None, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Features, score, reasons, level and decision of every transaction."""
-    return add_risk(add_features(txns, hot))
+    return add_risk(add_features(txns, hot, rows_per_task))
 
 
 def with_scenarios(txns: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -66,7 +68,7 @@ def run(
         txns = with_scenarios(txns, scenarios)
     users = materialize(users, "users")
     txns = materialize(txns, "transactions")
-    enriched = materialize(enrich(txns, find_hot_keys(txns, "user_id")), "enriched")
+    enriched = materialize(enrich(txns), "enriched")
     report = materialize(quality_report(users, txns, enriched, process_date), "quality")
     require_pass(report)
     lake.write_lake(root, users, txns, enriched, report)

@@ -156,6 +156,6 @@ class Shop:
     hot: HotKeys
 
 
-def load(spark: SparkSession, sf_dir: str) -> Shop:
-    hot = hot_users(spark, sf_dir)
+def load(spark: SparkSession, sf_dir: str, rows_per_task: int = ROWS_PER_TASK) -> Shop:
+    hot = hot_users(spark, sf_dir, rows_per_task)
     return Shop(users(spark, sf_dir), transactions(spark, sf_dir, hot), hot)
