@@ -8,7 +8,9 @@ import rows
 from txrisk import session
 from txrisk.operators import quality, serving
 from txrisk.operators.transactions import from_scenarios
+from txrisk.__main__ import main
 from txrisk.plans import lake, pipeline
+from txrisk.plans.reads import LakeReads
 from txrisk.schemas import ENRICHED, SCENARIOS_CSV, TRANSACTIONS, USERS
 from txrisk.sources.files import read_layer, read_scenarios, read_users
 
@@ -177,3 +179,48 @@ def test_object_store_settings():
 def test_transactions_have_declared_columns(spark):
     made = rows.transactions(spark, [rows.txn("a")])
     assert made.schema.names == TRANSACTIONS.names
+
+
+def test_reads_over_a_published_lake(spark, tmp_path):
+    job(spark, tmp_path)
+    reads = LakeReads(spark, str(tmp_path / "lake"))
+    fields = {"txn_id", "user_id", "risk_score", "risk_level", "risk_reasons", "decision"}
+    assert fields <= set(reads.top_alerts().columns)
+    assert [r.txn_id for r in reads.top_alerts().collect()] == ["scenario_impossible_travel"]
+    assert reads.alerts(risk_level="LOW").count() == 0
+    assert reads.alerts(reason="NEW_DEVICE", decision="BLOCK", country="JP").count() == 1
+    assert reads.quality().count() == 9
+    assert reads.transaction("scenario_valor_alto").first().risk_score == 25
+    assert reads.transaction("nothing").count() == 0
+    assert [r.txn_id for r in reads.history("user_00001").collect()] == [
+        "scenario_impossible_travel", "scenario_normal_br"]
+    assert reads.risk_profile("user_00001").first().total_amount == 4285.9
+    assert reads.risk_profile("nobody").count() == 0
+    assert reads.all_risk_profiles().count() == 5
+    assert reads.kpis().first().critical_alerts == 1
+    assert reads.score_series().first().label == "ID scenario_impossible_travel"
+    shown = reads.alert_page(1).first()
+    assert shown.route_from == "BR" and shown.reason_labels[0] == "Viagem impossivel"
+    assert reads.alert_page(2).count() == 0
+
+
+def test_reads_before_anything_is_published(spark, tmp_path):
+    reads = LakeReads(spark, str(tmp_path / "nowhere"))
+    for df in (reads.top_alerts(), reads.quality(), reads.transaction("a"), reads.history("u"),
+               reads.risk_profile("u"), reads.alert_page(1)):
+        assert df.count() == 0
+    assert reads.kpis().first().loaded_alerts == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    rows.write_users_csv(tmp_path / "users.csv")
+    rows.write_cases_csv(tmp_path / "cases.csv")
+    lake.write_layer(
+        rows.transactions(spark, [rows.txn("tx_0", user="user_00002")]), str(tmp_path),
+        lake.BRONZE_TRANSACTIONS,
+    )
+    main(["--users", str(tmp_path / "users.csv"), "--scenarios", str(tmp_path / "cases.csv"),
+          "--transactions", str(tmp_path / lake.BRONZE_TRANSACTIONS.folder),
+          "--lake", str(tmp_path / "lake"), "--date", "2026-05-22"])
+    assert "enriched_transactions" in capsys.readouterr().out
+    assert LakeReads(spark, str(tmp_path / "lake")).top_alerts().count() == 1
