@@ -6,6 +6,7 @@ import random
 import pytest
 import rows
 
+from txrisk.operators import behaviour
 from txrisk.operators.behaviour import add_features
 from txrisk.operators.scoring import add_risk, rules
 from txrisk.operators.skew import HotKeys, find_hot_keys, join_spread
@@ -215,6 +216,28 @@ def test_against_brute_force(spark, seed, rows_per_task):
                 assert have == value, (name, row)
 
 
+def test_copies_of_one_row_are_split(spark):
+    """Two thirds of the rows are one row; no slice takes them all, and the copies add up."""
+    made = [rows.txn("copy", amount=5.0)] * 400
+    made += [rows.txn(f"t{i}", when=f"2026-05-2{i % 3} 0{i % 9}:00:00", amount=float(i))
+             for i in range(200)]
+    txns = rows.transactions(spark, made)
+    sliced = behaviour._store_slices(behaviour._with_epoch(txns), 12)
+    assert sliced.count() == 600
+    assert sliced.groupBy("slice").count().agg({"count": "max"}).first()[0] <= 4 * 50
+    got = {}
+    for row in add_features(txns, rows_per_task=50).collect():
+        got.setdefault(row.txn_id, []).append(row)
+    expected = rows.brute_force(made)
+    for name, wanted in expected.items():
+        for field in ("hist_avg_amount", "hist_std_amount", "mins_since_prev"):
+            have = sorted(row[field] for row in got[name] if row[field] is not None)
+            want = sorted(w[field] for w in wanted if w[field] is not None)
+            assert have == pytest.approx(want, rel=1e-9, abs=1e-9)
+        assert {row.txns_1h for row in got[name]} == {w["txns_1h"] for w in wanted}
+        assert len(got[name]) == len(wanted)
+
+
 def test_score_properties(spark):
     result = add_risk(add_features(rows.transactions(spark, random_transactions(3)), HotKeys()))
     points = {rule.code: rule.points for rule in rules()}

@@ -88,17 +88,19 @@ def test_each_check_counts_its_rows(spark):
     assert names == sorted(names) and len(names) == 9
 
 
-def job(spark, tmp_path, extra=(), root="lake"):
+def job(spark, tmp_path, extra=(), root="lake", **options):
     rows.write_users_csv(tmp_path / "users.csv")
     rows.write_cases_csv(tmp_path / "cases.csv", extra)
     users = read_users(spark, str(tmp_path / "users.csv"))
     txns = from_scenarios(read_scenarios(spark, str(tmp_path / "cases.csv")), users, DAY)
     more = rows.transactions(spark, [rows.txn("tx_0", user="user_00002", ticket=150.0)])
-    return pipeline.run(users, more, str(tmp_path / root), scenarios=txns, process_date=DAY)
+    return pipeline.run(users, more, str(tmp_path / root), scenarios=txns, process_date=DAY,
+                        **options)
 
 
-def test_job_publishes_all_layers(spark, tmp_path):
-    got = {r.metric: r.value for r in job(spark, tmp_path).collect()}
+@pytest.mark.parametrize("rows_per_task", [1_000_000, 1])
+def test_job_publishes_all_layers(spark, tmp_path, rows_per_task):
+    got = {r.metric: r.value for r in job(spark, tmp_path, rows_per_task=rows_per_task).collect()}
     assert got == dict(users=5, transactions=7, enriched_transactions=7, alerts=1,
                        alerts_medium=0, alerts_high=0, alerts_critical=1)
     root = str(tmp_path / "lake")

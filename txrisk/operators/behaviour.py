@@ -51,6 +51,9 @@ CONTEXT = (
 # broadcast. Beyond it slices grow instead; the sort in a slice can spill.
 MAX_SLICES = 20_000
 
+# A slice this many times the average holds copies; sampled cuts stay below it.
+UNEVEN = 4
+
 
 def add_features(
     txns: DataFrame, hot: HotKeys | None = None, rows_per_task: int = ROWS_PER_TASK
@@ -145,20 +148,13 @@ def _whole_users(txns: DataFrame) -> DataFrame:
 
 def _sliced_users(txns: DataFrame, hot: HotKeys, rows_per_task: int) -> DataFrame:
     slices = min(MAX_SLICES, -(-hot.rows // rows_per_task) + 1)
-    # The slice number exists only once the range shuffle has run, and a second
-    # run could cut elsewhere, so it is stored before anything builds on it.
-    stored = materialize(
-        _with_epoch(txns)
-        .repartitionByRange(slices, "user_id", *TIME_ORDER)
-        .withColumn("slice", F.spark_partition_id()),
-        "sliced-users",
-    )
+    stored = _store_slices(_with_epoch(txns), slices)
     state = _state_before_slice(stored)
     # One row per slice and user in it: each hot user adds at most one to the slices.
     if slices + hot.keys <= 2 * MAX_SLICES:
         state = F.broadcast(state)
 
-    timeline = f"partition by slice, user_id order by {TIMELINE}"
+    timeline = f"partition by slice, user_id order by {TIMELINE}, row_no"
     local = stored.selectExpr(
         "*",
         f"lag({CONTEXT}) over ({timeline}) as local_prev",
@@ -187,6 +183,34 @@ def _sliced_users(txns: DataFrame, hot: HotKeys, rows_per_task: int) -> DataFram
     )
 
 
+def _store_slices(txns: DataFrame, slices: int) -> DataFrame:
+    """Cut the rows by user and time order into numbered slices and store them.
+
+    The slice number exists only once the range shuffle has run, and a second
+    run could cut elsewhere, so it is stored before anything builds on it, and
+    with it a row number that settles the order of complete copies. A group of
+    copies too large for a slice shows as an uneven slice; a second cut then
+    splits it by the stored row number.
+    """
+    order = ("user_id", *TIME_ORDER)
+    stored = materialize(
+        txns.repartitionByRange(slices, *order).selectExpr(
+            "*", "spark_partition_id() as slice", "monotonically_increasing_id() as row_no"
+        ),
+        "sliced-users",
+    )
+    sizes = stored.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    if total and largest > UNEVEN * -(-total // slices):
+        stored = materialize(
+            stored.drop("slice")
+            .repartitionByRange(slices, *order, "row_no")
+            .selectExpr("*", "spark_partition_id() as slice"),
+            "sliced-copies",
+        )
+    return stored
+
+
 def _state_before_slice(stored: DataFrame) -> DataFrame:
     """For each slice and user: last context and amount moments of all earlier slices.
 
@@ -194,7 +218,7 @@ def _state_before_slice(stored: DataFrame) -> DataFrame:
     rows long.
     """
     per_slice = stored.groupBy("slice", "user_id").agg(
-        F.expr(f"max_by({CONTEXT}, struct({TIMELINE})) as last"),
+        F.expr(f"max_by({CONTEXT}, struct({TIMELINE}, row_no)) as last"),
         F.expr("count(amount) as n"),
         F.expr("avg(amount) as mean"),
         F.expr("var_pop(amount) * count(amount) as m2"),

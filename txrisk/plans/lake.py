@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from txrisk.operators.scoring import only_alerts
@@ -45,18 +46,25 @@ LAYERS = (BRONZE_USERS, BRONZE_TRANSACTIONS, SILVER, ALERTS, DATA_QUALITY)
 
 
 def write_layer(df: DataFrame, root: str, layer: Layer) -> None:
-    """Replace the layer below ``root``.
+    """Replace the layer below ``root`` with the rows of ``df``, a stored table.
 
     Without a shuffle every task would leave one small file in every partition.
     Layers that are looked up are cut into even ranges of their partition
-    columns and sort order, so that a lookup opens few files. The others are
-    rebalanced by their partition columns. Either way a partition with a large
-    part of the rows is spread over several tasks and files.
+    columns and sort order, so that a lookup opens few files; a row number,
+    which a stored table gives the same way again if a task is repeated, splits
+    even complete copies. The others are rebalanced by their partition columns.
+    Either way a partition with a large part of the rows is spread over several
+    tasks and files.
     """
     rows = df.select(*layer.schema.names)
     order = layer.partitions + layer.sorted_by
     if layer.sorted_by:
-        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        rows = (
+            rows.withColumn("row_no", F.monotonically_increasing_id())
+            .repartitionByRange(*order, "row_no")
+            .sortWithinPartitions(*order)
+            .drop("row_no")
+        )
     elif layer.partitions:
         rows = rows.hint("rebalance", *layer.partitions)
     writer = rows.write.mode("overwrite").partitionBy(*layer.partitions)

@@ -55,6 +55,7 @@ def run(
     root: str,
     scenarios: DataFrame | None = None,
     process_date: datetime.date | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Score the transactions and publish the lake below ``root``.
 
@@ -68,7 +69,7 @@ def run(
         txns = with_scenarios(txns, scenarios)
     users = materialize(users, "users")
     txns = materialize(txns, "transactions")
-    enriched = materialize(enrich(txns), "enriched")
+    enriched = materialize(enrich(txns, rows_per_task=rows_per_task), "enriched")
     report = materialize(quality_report(users, txns, enriched, process_date), "quality")
     require_pass(report)
     lake.write_lake(root, users, txns, enriched, report)
