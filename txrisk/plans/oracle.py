@@ -324,16 +324,14 @@ def sql() -> dict[str, str]:
         "range_spine": "SELECT 'tx_' || n AS txn_id, value AS amount FROM "
         "(SELECT unnest(range(min(event_id), max(event_id) + 1)) AS n FROM events) "
         "LEFT JOIN events ON event_id = n",
-        "ts_interval_shift": "SELECT event_id, strftime(ts - to_days(CAST(event_id % 30 AS int)) "
-        "- to_hours(event_id % 24) - to_minutes(event_id % 60) - to_seconds(event_id % 59), "
+        "ts_interval_shift": "SELECT event_id, strftime(ts - to_hours(event_id % 120 * 6) "
+        "- to_minutes(event_id % 48 * 30) - to_seconds(event_id % 120 * 30 + event_id % 59), "
         "'%Y-%m-%d %H:%M:%S.%f') AS txn_ts FROM events",
         "prev_txn_context": _features(
             "user_id", "prev_country", "prev_city", "prev_lat", "prev_lon", "prev_txn_ts",
             "prev_device",
         ),
-        "haversine_km": f"WITH {_TXN} SELECT txn_id, home_country, txn_country, "
-        f"{_km('h.lat', 'h.lon', 't.lat', 't.lon')} AS km_from_home "
-        "FROM txn t JOIN geo h ON h.country = t.home_country",
+        "haversine_km": _features("prev_lat", "prev_lon", "lat", "lon", "km_since_prev"),
         "geo_velocity": _features("mins_since_prev", "km_since_prev", "kmh_since_prev"),
         "hist_amount_stats": _features("hist_avg_amount", "hist_std_amount"),
         "txns_1h": _features("txns_1h"),

@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.functions.columns import great_circle_km
 from txrisk.operators import dashboard, profiles, quality, scoring, serving
 from txrisk.operators.behaviour import add_features
 from txrisk.operators.skew import join_spread
@@ -177,11 +176,12 @@ def range_spine(spark, sf_dir):
 
 @query
 def ts_interval_shift(spark, sf_dir):
-    """Each event moved back by a number of days, hours, minutes and seconds."""
+    """Each event moved back by a fraction of 30 days, a day, an hour and a minute."""
     shifted = shop.table(spark, sf_dir, "events").selectExpr(
         "event_id",
-        "ts - (event_id % 30) * interval 1 day - (event_id % 24) * interval 1 hour "
-        "- (event_id % 60) * interval 1 minute - (event_id % 59) * interval 1 second as txn_ts",
+        "ts - (event_id % 120 / 4) * interval 1 day - (event_id % 48 / 2) * interval 1 hour "
+        "- (event_id % 120 / 2) * interval 1 minute - (event_id % 59) * interval 1 second "
+        "as txn_ts",
     )
     return show(shifted)
 
@@ -201,6 +201,7 @@ _feature_query(
     "prev_txn_context",
     "user_id", "prev_country", "prev_city", "prev_lat", "prev_lon", "prev_txn_ts", "prev_device",
 )
+_feature_query("haversine_km", "prev_lat", "prev_lon", "lat", "lon", "km_since_prev")
 _feature_query("geo_velocity", "mins_since_prev", "km_since_prev", "kmh_since_prev")
 _feature_query("hist_amount_stats", "hist_avg_amount", "hist_std_amount")
 _feature_query("txns_1h", "txns_1h")
@@ -211,19 +212,6 @@ _feature_query("new_country", "txn_country", "home_country", "prev_country", "is
 _feature_query("abnormal_frequency", "mins_since_prev", "txns_1h", "is_abnormal_freq")
 
 
-@query
-def haversine_km(spark, sf_dir):
-    """Distance of every payment from its user's home."""
-    data = shop.load(spark, sf_dir)
-    homes = countries(spark).selectExpr(
-        "txn_country as home_country", "lat as home_lat", "lon as home_lon"
-    )
-    km = great_circle_km(F.col("home_lat"), F.col("home_lon"), F.col("lat"), F.col("lon"))
-    return data.transactions.join(F.broadcast(homes), "home_country").select(
-        "txn_id", "home_country", "txn_country", F.round(km, 2).alias("km_from_home")
-    )
-
-
 @query
 def txn_hour_flag(spark, sf_dir):
     txns = shop.load(spark, sf_dir).transactions
