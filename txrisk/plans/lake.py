@@ -69,7 +69,9 @@ def write_layer(df: DataFrame, root: str, layer: Layer) -> None:
         rows = rows.hint("rebalance", *layer.partitions)
     writer = rows.write.mode("overwrite").partitionBy(*layer.partitions)
     for name in layer.looked_up:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true").option(
+            "parquet.bloom.filter.adaptive.enabled", "true"
+        )
     writer.parquet(f"{root}/{layer.folder}")
 
 
