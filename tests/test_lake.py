@@ -150,6 +150,19 @@ def test_layer_round_trip(gold):
     assert stored.exceptAll(made).count() == 0 and made.exceptAll(stored).count() == 0
 
 
+def test_layers_without_rows(spark, tmp_path):
+    none = rows.enriched(spark, [])
+    for layer in (lake.SILVER, lake.ALERTS):
+        lake.write_layer(none, str(tmp_path), layer)
+        assert lake.read(spark, str(tmp_path), layer).count() == 0
+
+
+def test_other_read_errors_are_raised(spark, tmp_path):
+    (tmp_path / "broken.parquet").write_text("not parquet")
+    with pytest.raises(Exception, match="broken.parquet"):
+        read_layer(spark, str(tmp_path / "broken.parquet"), ENRICHED).count()
+
+
 def test_filters_prune_and_push_down(gold):
     stored, _ = gold
     chosen = serving.list_alerts(

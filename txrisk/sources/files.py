@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,12 +35,15 @@ def countries(spark: SparkSession) -> DataFrame:
     return spark.sql(f"VALUES {rows} AS countries(geo_idx, txn_country, txn_city, lat, lon)")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file, folder or glob exists on whichever file system owns it."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    matches = fs.globStatus(hadoop_path)
-    return matches is not None and len(matches) > 0
+def _no_rows_if_missing(
+    spark: SparkSession, schema: StructType, read: Callable[[], DataFrame]
+) -> DataFrame:
+    try:
+        return read()
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def read_users(spark: SparkSession, path: str) -> DataFrame:
@@ -52,10 +57,8 @@ def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
 
     A bad timestamp becomes null, so that the quality report counts it.
     """
-    if path_exists(spark, path):
-        raw = spark.read.schema(SCENARIOS_CSV).option("header", True).csv(path)
-    else:
-        raw = spark.createDataFrame([], SCENARIOS_CSV)
+    csv = spark.read.schema(SCENARIOS_CSV).option("header", True)
+    raw = _no_rows_if_missing(spark, SCENARIOS_CSV, lambda: csv.csv(path))
     return raw.withColumn("txn_ts", F.try_to_timestamp("txn_ts"))
 
 
@@ -65,9 +68,5 @@ def read_layer(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     The schema keeps partition discovery from retyping identifiers. A missing
     or empty folder reads as no rows.
     """
-    try:
-        return spark.read.schema(schema).parquet(path).select(*schema.names)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    parquet = spark.read.schema(schema)
+    return _no_rows_if_missing(spark, schema, lambda: parquet.parquet(path)).select(*schema.names)
