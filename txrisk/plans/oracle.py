@@ -416,7 +416,7 @@ def sql() -> dict[str, str]:
         "dq_report": report,
         "dq_report_sorted": report,
         "dq_report_dirty": f"{_DIRTY} {_quality('dirty_users', 'dirty_txn', 'dirty_scored')}",
-        "pipeline_metrics": f"{_EVENT_SCORES} {_METRICS}",
+        "job_metrics": f"{_EVENT_SCORES} {_METRICS}",
         "lake_roundtrip_users": _pick(f"WITH {_USERS}", _USER_COLUMNS, "users"),
         "lake_roundtrip_bronze": _pick(f"WITH {_TXN}", _TXN_COLUMNS, "txn"),
         "lake_roundtrip_silver": _pick(_EVENT_SCORES, _ENRICHED_COLUMNS, "scored"),

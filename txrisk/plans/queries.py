@@ -466,7 +466,7 @@ def dq_report_dirty(spark, sf_dir):
 
 
 @query
-def pipeline_metrics(spark, sf_dir):
+def job_metrics(spark, sf_dir):
     data = shop.load(spark, sf_dir)
     return pipeline.metrics(
         data.users, data.transactions, pipeline.enrich(data.transactions, data.hot)

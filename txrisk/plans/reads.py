@@ -48,4 +48,5 @@ class LakeReads:
 
     def alert_page(self, number: int) -> DataFrame:
         """A page of the loaded alerts with the labels and route it shows."""
-        return dashboard.with_route(dashboard.with_labels(dashboard.page(self.top_alerts(), number)))
+        page = dashboard.page(self.top_alerts(), number)
+        return dashboard.with_route(dashboard.with_labels(page))
