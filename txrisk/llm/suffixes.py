@@ -277,7 +277,10 @@ def repeats_by_text(docs: DataFrame, text: str = "text", length: int = LENGTH) -
     cores = rows.groupBy("core").agg(
         F.count(F.lit(1)).alias("times"), F.min("whole").alias("a"), F.max("whole").alias("b")
     )
-    cores = cores.filter("times > 1").select("core", (F.col("a") == F.col("b")).alias("alike"))
+    # stored, so that the join below reads plain exchanges, whose hot keys can be split
+    cores = materialize(
+        cores.filter("times > 1").select("core", (F.col("a") == F.col("b")).alias("alike")), "cores"
+    )
     repeated = materialize(rows.join(cores, "core"), "repeated")
 
     # one occurrence of each band that shares its core with a different one
@@ -318,6 +321,7 @@ def repeats_by_text(docs: DataFrame, text: str = "text", length: int = LENGTH) -
     found = found.join(mixed.select("core", "whole", "times"), ["core", "whole"]).select(
         "core", "whole", F.when(F.col("times") < 2, F.col("runs")).alias("runs")
     )
+    found = materialize(found, "found")
     whole_band = F.array(F.struct(F.lit(0).alias("at"), F.col("n")))
     of_mixed = repeated.filter("not alike").join(found, ["core", "whole"]).withColumn(
         "runs", F.coalesce("runs", whole_band)
