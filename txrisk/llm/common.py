@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +52,39 @@ def in_chunks(
     return keyed.repartition(chunks, "chunk")
 
 
+def packed_in_chunks(
+    docs: DataFrame, doc_id: str, text: str, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
+    """As :func:`in_chunks`, but ``chunk`` and ``docs``: compressed tables of id and text.
+
+    What a batch has for a chunk is one row, so a shuffle moves compressed texts.
+    """
+    chunks = max(1, -(-text_bytes(docs, text) // chunk_bytes))
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).withColumn(
+        "chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
+    )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            found, tables = np.unique(batch.column("chunk").to_numpy()), []
+            rows = batch.select(["doc_id", "text"])
+            for chunk in found:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                    out.write(rows.filter(pc.equal(batch.column("chunk"), int(chunk))))
+                tables.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.int32()), pa.array(tables, pa.binary())], ["chunk", "docs"]
+            )
+
+    return keyed.mapInArrow(pack, "chunk int, docs binary").repartition(chunks, "chunk")
+
+
+def unpacked(docs: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(docs.as_buffer()).read_all()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node reachable, for every node of ``edges``.
 

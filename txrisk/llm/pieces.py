@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut into units: blanks and what follows up to the next blank. No piece
-of the table crosses such a border, so a unit's best segmentation does not
-depend on its text, and each distinct unit is encoded once. Its substrings of
+A text is cut into units: before blanks, and between characters that follow each
+other in no piece of the table. No piece crosses such a border, so a unit's best
+segmentation does not depend on its text, and each distinct unit is encoded once. Its substrings of
 bounded length are exploded and joined to the piece table by equality; the edges
 are grouped by unit, and two higher-order aggregates fold them: the forward one
 keeps the best score to every place, the backward one follows it. A character
@@ -32,15 +32,15 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import in_chunks
+from txrisk.llm.common import packed_in_chunks, unpacked
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0  # below the lowest score of the table, as the public encoder has it
 MAX_PIECES = 1_000_000
 # The SQL fold copies its arrays at every step. Units beyond this length are
-# folded over the same edges in arrays that are not copied.
+# folded where they occur, over the same edges in arrays that are not copied.
 LONG_UNIT = 512
-_UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+_WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -53,6 +53,7 @@ class Pieces:
     raw: list[bytes]
     longest: int
     unknown: float
+    adjacent: frozenset[tuple[str, str]]
 
     @staticmethod
     def load(model_file: str) -> Pieces:
@@ -77,7 +78,16 @@ class Pieces:
         if any(BLANK in p.lstrip(BLANK) for p in scores):
             raise ValueError("a piece goes on after a blank")
         lowest = min(s for _, s in scores.values())
-        return Pieces(scores, byte_ids, raw, max(map(len, scores)), lowest - UNKNOWN_PENALTY)
+        adjacent = frozenset(pair for p in scores for pair in zip(p, p[1:], strict=False))
+        return Pieces(
+            scores, byte_ids, raw, max(map(len, scores)), lowest - UNKNOWN_PENALTY, adjacent
+        )
+
+    def cut(self, word: str) -> list[str]:
+        """``word`` between characters that follow each other in no piece."""
+        pairs = zip(word, word[1:], strict=False)
+        at = [i for i, pair in enumerate(pairs, 1) if pair not in self.adjacent]
+        return [word[a:b] for a, b in zip([0, *at], [*at, len(word)], strict=True)] if at else [word]
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(p, i, s) for p, (i, s) in self.scores.items()]
@@ -88,9 +98,9 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-def units(text: str) -> list[str]:
-    """The units of a text, a blank set before it."""
-    return _UNIT.findall(BLANK + text.replace(" ", BLANK)) if text else []
+def words(text: str) -> list[str]:
+    """A text with a blank before it, cut before each run of blanks."""
+    return _WORD.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
 
 def encode_long(unit: str, pieces: Pieces) -> list[int]:
@@ -154,24 +164,28 @@ aggregate(
 """
 
 
-def encode_units(distinct: DataFrame, pieces: Pieces) -> DataFrame:
-    """``unit`` and ``ids`` of distinct units (no longer than LONG_UNIT), by the lattice.
+def encode_units(asked: DataFrame, pieces: Pieces) -> DataFrame:
+    """``asked`` (distinct ``unit`` with an array ``chunks``) with ``ids``, by the lattice.
 
-    ``distinct`` is hash-partitioned by unit, which exploding keeps, so the
-    grouping moves nothing. The piece table is broadcast; it is no larger than
-    MAX_PIECES.
+    ``asked`` is hash-partitioned by unit, which exploding keeps, so the grouping
+    moves nothing. The first edge of a unit carries its chunks along. The piece
+    table is broadcast; it is no larger than MAX_PIECES.
     """
-    spark = distinct.sparkSession
-    placed = distinct.select(
-        "unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start")
-    )
+    spark = asked.sparkSession
+    first = lambda c: F.when(F.col(c) == (0 if c == "start" else 1), F.col("chunks"))
+    placed = asked.select(
+        "unit", "chunks", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start")
+    ).select("unit", first("start").alias("chunks"), "start")
+    longest = F.least(F.lit(pieces.longest), F.length("unit") - F.col("start"))
     spans = placed.select(
+        "unit", "chunks", "start", F.explode(F.sequence(F.lit(1), longest)).alias("n")
+    ).select(
         "unit",
+        first("n").alias("chunks"),
         "start",
-        F.explode(
-            F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("unit") - F.col("start")))
-        ).alias("n"),
-    ).select("unit", "start", "n", F.substring("unit", F.col("start") + 1, F.col("n")).alias("piece"))
+        "n",
+        F.substring("unit", F.col("start") + 1, F.col("n")).alias("piece"),
+    )
     table = F.broadcast(pieces.frame(spark))
     edges = spans.join(table, "piece", "left").filter("id is not null or n = 1")
     packed = F.expr(
@@ -179,37 +193,29 @@ def encode_units(distinct: DataFrame, pieces: Pieces) -> DataFrame:
         f" | shiftleft(cast(start as bigint), {ID_BITS}) | coalesce(id, {UNKNOWN})"
     )
     edge = F.struct(packed.alias("edge"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"))
-    lattice = edges.select("unit", edge.alias("edge")).groupBy("unit").agg(
-        F.sort_array(F.collect_list("edge")).alias("edges")
-    )
-    path = lattice.select("unit", F.expr(FORWARD).alias("back")).select(
-        "unit", F.expr(BACKWARD).alias("path")
+    lattice = (
+        edges.select("unit", "chunks", edge.alias("edge"))
+        .groupBy("unit")
+        .agg(
+            F.sort_array(F.collect_list("edge")).alias("edges"),
+            F.first("chunks", ignorenulls=True).alias("chunks"),
+        )
     )
-    unknown_bytes = (
-        f"substring(hex(encode(substring(unit, {_START} + 1, 1), 'UTF-8')), cast(2 * k + 1 as int), 2)"
+    path = lattice.select("unit", "chunks", F.expr(FORWARD).alias("back")).select(
+        "unit", "chunks", F.expr(BACKWARD).alias("path")
     )
-    n_bytes = f"length(hex(encode(substring(unit, {_START} + 1, 1), 'UTF-8'))) div 2"
+    hexed = f"hex(encode(substring(unit, {_START} + 1, 1), 'UTF-8'))"
     byte_ids = ",".join(map(str, pieces.byte_ids))
     ids = f"""
     flatten(transform(path, e -> if(
       e & {UNKNOWN} < {UNKNOWN},
       array(cast(e & {UNKNOWN} as int)),
       transform(
-        sequence(0, {n_bytes} - 1),
-        k -> element_at(array({byte_ids}), cast(conv({unknown_bytes}, 16, 10) as int) + 1)))))
+        sequence(0, length({hexed}) div 2 - 1),
+        k -> element_at(
+          array({byte_ids}), cast(conv(substring({hexed}, cast(2 * k + 1 as int), 2), 16, 10) as int) + 1)))))
     """
-    return path.select("unit", F.expr(ids).alias("ids"))
-
-
-def _units_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[int, set[str]] = {}
-    for batch in batches:
-        for chunk, text in zip(batch.column("chunk").to_pylist(), batch.column("text"), strict=True):
-            seen.setdefault(chunk, set()).update(units(text.as_py()))
-    for chunk, found in seen.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(found), chunk, np.int32)), pa.array(list(found), pa.string())], ["chunk", "unit"]
-        )
+    return path.select("unit", "chunks", F.expr(ids).alias("ids"))
 
 
 def encode(
@@ -217,43 +223,66 @@ def encode(
 ) -> DataFrame:
     """``doc_id``, ``ids``, ``n_pieces``, and ``round_trip``: the ids decode to the text.
 
-    The texts are shuffled once: both the units and the assembly read the same
-    exchange.
+    The texts are shuffled once, packed: both the units and the assembly read the
+    same exchange.
     """
     pieces = Pieces.load(model_file)
-    chunks = in_chunks(docs, doc_id, text)
-    id_type = chunks.schema["doc_id"].dataType.simpleString()
-    asked = (
-        chunks.mapInArrow(_units_of_chunks, "chunk int, unit string")
-        .groupBy("unit")
-        .agg(F.collect_list("chunk").alias("chunks"))
-    )
+    chunks = packed_in_chunks(docs, doc_id, text)
+    id_type = docs.schema[doc_id].dataType.simpleString()
 
-    def long_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def units_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, set[str]] = {}
         for batch in batches:
-            ids = [encode_long(u.as_py(), pieces) for u in batch.column("unit")]
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(ids, pa.list_(pa.int32()))], ["unit", "ids"])
+            for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("docs"), strict=True):
+                found = seen.setdefault(chunk, set())
+                for t in unpacked(packed).column("text"):
+                    found.update(words(t.as_py()))
+        for chunk, found in seen.items():
+            units = {u for w in found for u in pieces.cut(w) if len(u) <= LONG_UNIT}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(units), chunk, np.int32)), pa.array(list(units), pa.string())],
+                ["chunk", "unit"],
+            )
 
-    short = encode_units(asked.filter(F.length("unit") <= LONG_UNIT).select("unit"), pieces)
-    long = asked.filter(F.length("unit") > LONG_UNIT).select("unit").mapInArrow(long_units, "unit string, ids array<int>")
-    answers = asked.join(short.unionByName(long), "unit").select(
-        F.explode("chunks").alias("chunk"), "unit", "ids"
+    asked = (
+        chunks.mapInArrow(units_of_chunks, "chunk int, unit string")
+        .groupBy("unit")
+        .agg(F.collect_list("chunk").alias("chunks"))
     )
+    answers = encode_units(asked, pieces).select(F.explode("chunks").alias("chunk"), "unit", "ids")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        flat = right.column("ids").combine_chunks()
-        ids = dict(zip(right.column("unit").to_pylist(), flat.to_pylist(), strict=True))
-        rows, good = [], []
-        for t in left.column("text"):
-            t = t.as_py()
-            found = list(chain.from_iterable(map(ids.__getitem__, units(t))))
-            rows.append(np.array(found, np.int32))
-            good.append(pieces.decode(found) == t.replace(BLANK, " "))
-        values = pa.array(rows, pa.list_(pa.int32()))
-        return pa.table(
-            [left.column("doc_id"), values, pa.array([len(r) for r in rows], pa.int64()), pa.array(good, pa.bool_())],
-            ["doc_id", "ids", "n_pieces", "round_trip"],
-        )
+        lists = right.column("ids").combine_chunks()
+        values = lists.flatten().to_numpy().astype(np.int32).tobytes()
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+        place = {u: i for i, u in enumerate(right.column("unit").to_pylist())}
+        known: dict[str, bytes] = {}
+
+        def of_unit(unit: str) -> bytes:
+            if len(unit) > LONG_UNIT:
+                return np.array(encode_long(unit, pieces), np.int32).tobytes()
+            i = place[unit]
+            return values[4 * (ends[i - 1] if i else 0) : 4 * ends[i]]
+
+        def of_word(word: str) -> bytes:
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = b"".join(map(of_unit, pieces.cut(word)))
+            return ids
+
+        tables = []
+        for packed in left.column("docs"):
+            docs_, rows, good = unpacked(packed), [], []
+            for t in docs_.column("text"):
+                t = t.as_py()
+                rows.append(np.frombuffer(b"".join(map(of_word, words(t))), np.int32))
+                good.append(pieces.decode(rows[-1].tolist()) == t.replace(BLANK, " "))
+            sizes = np.array([len(r) for r in rows], np.int64)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
+            columns = [docs_.column("doc_id"), ids, pa.array(sizes), pa.array(good, pa.bool_())]
+            tables.append(pa.table(columns, ["doc_id", "ids", "n_pieces", "round_trip"]))
+        return pa.concat_tables(tables)
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         assemble, f"doc_id {id_type}, ids array<int>, n_pieces bigint, round_trip boolean"
