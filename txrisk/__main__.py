@@ -22,14 +22,16 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--lake", required=True, help="root of the lake to publish")
     parser.add_argument("--date", type=datetime.date.fromisoformat, help="processing date")
     args = parser.parse_args(argv)
+    # one date for the whole run, also over midnight
+    date = args.date or datetime.datetime.now(datetime.UTC).date()
 
     spark = apply_sql_settings(SparkSession.builder.appName("txrisk").getOrCreate())
     users = read_users(spark, args.users)
     txns = read_layer(spark, args.transactions, TRANSACTIONS)
     scenarios = None
     if args.scenarios:
-        scenarios = from_scenarios(read_scenarios(spark, args.scenarios), users, args.date)
-    pipeline.run(users, txns, args.lake, scenarios, args.date).show(truncate=False)
+        scenarios = from_scenarios(read_scenarios(spark, args.scenarios), users, date)
+    pipeline.run(users, txns, args.lake, scenarios, date).show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -22,7 +22,7 @@ REASON_LABELS = {
 
 
 def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Haversine distance. Null if any coordinate is null.
+    """Haversine distance. Null if any coordinate is null or NaN.
 
     Rounding can push the half-chord of antipodes just above 1, where ``asin``
     is NaN, which would compare greater than every speed limit. They are half a
@@ -31,9 +31,10 @@ def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     north = F.sin(F.radians(lat2 - lat1) / 2)
     east = F.sin(F.radians(lon2 - lon1) / 2)
     chord = north * north + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * east * east
-    half_angle = F.nanvl(F.asin(F.sqrt(chord)), F.lit(math.pi / 2))
+    half_angle = F.when(~F.isnan(chord), F.nanvl(F.asin(F.sqrt(chord)), F.lit(math.pi / 2)))
     # Most transactions happen where the last one did; they skip the functions.
-    return F.when((lat1 == lat2) & (lon1 == lon2), 0.0).otherwise(
+    same = (lat1 == lat2) & (lon1 == lon2) & ~F.isnan(lat1) & ~F.isnan(lon1)
+    return F.when(same, 0.0).otherwise(
         half_angle * (2 * EARTH_RADIUS_KM)
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ def _within(limit: int, most: int) -> int:
 
 
 def _day(text: str) -> datetime.date:
-    if len(text) != len("yyyy-mm-dd"):
+    if not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", text):
         raise ValueError(f"not a yyyy-mm-dd date: {text}")
     return datetime.date.fromisoformat(text)
 
