@@ -40,6 +40,8 @@ MAX_PIECES = 1_000_000
 # The SQL fold copies its arrays at every step. Units beyond this length are
 # folded where they occur, over the same edges in arrays that are not copied.
 LONG_UNIT = 512
+# A task holds the texts of a chunk, its units and their ids.
+CHUNK_BYTES = 8 << 20
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -227,7 +229,7 @@ def encode(
     same exchange.
     """
     pieces = Pieces.load(model_file)
-    chunks = packed_in_chunks(docs, doc_id, text)
+    chunks = packed_in_chunks(docs, doc_id, text, CHUNK_BYTES)
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def units_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
