@@ -233,21 +233,29 @@ def encode(
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def units_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}
+        def rows(chunk: int, found: set[str]) -> pa.RecordBatch:
+            units = list({u for w in found for u in pieces.cut(w) if len(u) <= LONG_UNIT})
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(units), chunk, np.int32)), pa.array(units, pa.string())],
+                ["chunk", "unit"],
+            )
+
+        # sorted by chunk, so that the words of one chunk are held at a time
+        last, found = None, set()
         for batch in batches:
             for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("docs"), strict=True):
-                found = seen.setdefault(chunk, set())
+                if found and chunk != last:
+                    yield rows(last, found)
+                    found = set()
+                last = chunk
                 for t in unpacked(packed).column("text"):
                     found.update(words(t.as_py()))
-        for chunk, found in seen.items():
-            units = {u for w in found for u in pieces.cut(w) if len(u) <= LONG_UNIT}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(units), chunk, np.int32)), pa.array(list(units), pa.string())],
-                ["chunk", "unit"],
-            )
+        if found:
+            yield rows(last, found)
 
     asked = (
-        chunks.mapInArrow(units_of_chunks, "chunk int, unit string")
+        chunks.sortWithinPartitions("chunk")
+        .mapInArrow(units_of_chunks, "chunk int, unit string")
         .groupBy("unit")
         .agg(F.collect_list("chunk").alias("chunks"))
     )
