@@ -5,12 +5,12 @@ import pytest
 from conftest import SF_DIR
 
 import __spark_entry__ as contract
-from txrisk.plans import pipeline
-from txrisk.plans.queries import show
+from txrisk.plans import oracle, pipeline
+from txrisk.plans.queries import registry, show
 from txrisk.sources import shop
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = registry()
+ORACLES = oracle.sql()
 
 
 def plan_of(df):
