@@ -234,7 +234,8 @@ def encode(
 
     def units_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(chunk: int, found: set[str]) -> pa.RecordBatch:
-            units = list({u for w in found for u in pieces.cut(w) if len(u) <= LONG_UNIT})
+            # sorted, since neighbours alike compress well
+            units = sorted({u for w in found for u in pieces.cut(w) if len(u) <= LONG_UNIT})
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(units), chunk, np.int32)), pa.array(units, pa.string())],
                 ["chunk", "unit"],
@@ -253,40 +254,55 @@ def encode(
         if found:
             yield rows(last, found)
 
+    # A chunk asks once for a unit, so nothing is to be gathered before the shuffle.
     asked = (
         chunks.sortWithinPartitions("chunk")
         .mapInArrow(units_of_chunks, "chunk int, unit string")
+        .repartition("unit")
         .groupBy("unit")
         .agg(F.collect_list("chunk").alias("chunks"))
     )
-    answers = encode_units(asked, pieces).select(F.explode("chunks").alias("chunk"), "unit", "ids")
-
-    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        lists = right.column("ids").combine_chunks()
-        values = lists.flatten().to_numpy().astype(np.int32).tobytes()
-        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
-        place = {u: i for i, u in enumerate(right.column("unit").to_pylist())}
-        known: dict[str, bytes] = {}
-
-        def of_unit(unit: str) -> bytes:
+    # The ids spell their unit, which therefore does not travel with them.
+    answers = encode_units(asked, pieces).select(F.explode("chunks").alias("chunk"), "ids")
+    blank = " " if BLANK in pieces.scores else BLANK
+
+    def spelled(text: str) -> bytes:
+        return text.replace(BLANK, blank).encode("utf-8", "surrogatepass")
+
+    class Known(dict):
+        """Ids of the words of a chunk as bytes, worked out on first sight; ``bad``: not spelled by them."""
+
+        def __init__(self, ids: pa.ListArray):
+            values = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+            ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
+            sizes = np.cumsum(np.array([len(r) for r in pieces.raw])[values])
+            text = b"".join(map(pieces.raw.__getitem__, values.tolist()))
+            to = sizes[ends - 1].tolist() if len(ends) else []
+            self.values, self.ends, self.bad = values.tobytes(), ends.tolist(), set()
+            self.place = {text[a:b]: i for i, (a, b) in enumerate(zip([0, *to], to, strict=False))}
+
+        def of_unit(self, unit: str) -> bytes:
             if len(unit) > LONG_UNIT:
                 return np.array(encode_long(unit, pieces), np.int32).tobytes()
-            i = place[unit]
-            return values[4 * (ends[i - 1] if i else 0) : 4 * ends[i]]
-
-        def of_word(word: str) -> bytes:
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = b"".join(map(of_unit, pieces.cut(word)))
+            i = self.place[spelled(unit)]
+            return self.values[4 * (self.ends[i - 1] if i else 0) : 4 * self.ends[i]]
+
+        def __missing__(self, word: str) -> bytes:
+            ids = self[word] = b"".join(map(self.of_unit, pieces.cut(word)))
+            raw = b"".join(map(pieces.raw.__getitem__, np.frombuffer(ids, np.int32).tolist()))
+            if raw != spelled(word):
+                self.bad.add(word)
             return ids
 
-        tables = []
+    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, tables = Known(right.column("ids").combine_chunks()), []
         for packed in left.column("docs"):
             docs_, rows, good = unpacked(packed), [], []
             for t in docs_.column("text"):
-                t = t.as_py()
-                rows.append(np.frombuffer(b"".join(map(of_word, words(t))), np.int32))
-                good.append(pieces.decode(rows[-1].tolist()) == t.replace(BLANK, " "))
+                found = words(t.as_py())
+                rows.append(np.frombuffer(b"".join(map(known.__getitem__, found)), np.int32))
+                # A text is spelled by its ids where each of its words is.
+                good.append(not known.bad or known.bad.isdisjoint(found))
             sizes = np.array([len(r) for r in rows], np.int64)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
