@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import statistics
 
 import pytest
 import rows
@@ -216,6 +217,33 @@ def test_against_brute_force(spark, seed, rows_per_task):
                 assert have == value, (name, row)
 
 
+@pytest.mark.parametrize("odd", [[], [float("nan"), 1e25]])
+def test_moments_do_not_depend_on_the_size_of_a_user(spark, odd):
+    """1,500 rows of one user, whole and in slices of 50: equal to the last digit."""
+    rng = random.Random(5)
+    start = dt.datetime(2026, 5, 1, tzinfo=dt.timezone.utc)
+    amounts = [round(rng.uniform(1, 9000), 2) for _ in range(1500 - len(odd))] + odd
+    made = [rows.txn(f"t{i:04d}", user="one", when=start + dt.timedelta(seconds=i), amount=a)
+            for i, a in enumerate(amounts)]
+    txns = rows.transactions(spark, made)
+
+    def moments(rows_per_task):
+        got = add_features(txns, rows_per_task=rows_per_task).collect()
+        return {r.txn_id: (repr(r.hist_avg_amount), repr(r.hist_std_amount)) for r in got}
+
+    whole = moments(1_000_000)
+    assert whole == moments(50)
+    assert whole["t0001"] == (repr(amounts[0]), "None")
+    assert float(whole["t1000"][1]) == pytest.approx(statistics.stdev(amounts[:1000]), rel=1e-14)
+    assert (whole["t1499"] == ("nan", "nan")) == bool(odd)
+
+
+def test_equal_amounts_have_no_deviation(spark):
+    made = [rows.txn(f"t{i}", when=f"2026-05-20 10:{i:02d}:00", amount=33.33) for i in range(9)]
+    got = scored(spark, made)["t8"]
+    assert (got.hist_avg_amount, got.hist_std_amount) == (33.33, 0.0)
+
+
 def test_copies_of_one_row_are_split(spark):
     """Two thirds of the rows are one row; no slice takes them all, and the copies add up."""
     made = [rows.txn("copy", amount=5.0)] * 400

@@ -41,6 +41,20 @@ TIMELINE = ", ".join(("epoch", *TIME_ORDER))
 
 BEFORE = "rows between unbounded preceding and 1 preceding"
 
+# Mean and deviation come from exact sums of the amounts and their squares, so
+# they are the same however the rows are cut. An amount counts in units of
+# 1/10000; one that is NaN, or 10^12 or more, has no exact form, and leaves mean
+# and deviation NaN for the rows after it. So do squares that add up to 10^29.
+MONEY = "decimal(16,4)"
+TOTAL = "decimal(21,4)"
+SQUARES = "decimal(37,8)"
+MOMENTS = {
+    "n": "count(money)",
+    "total": "try_sum(money)",
+    "squares": "try_sum(money * money)",
+    "odd": "count_if(amount is not null and money is null)",
+}
+
 # The context handed to the next transaction.
 CONTEXT = (
     "struct(txn_country as prev_country, txn_city as prev_city, lat as prev_lat, "
@@ -78,7 +92,35 @@ def add_features(
 
 
 def _with_epoch(txns: DataFrame) -> DataFrame:
-    return txns.selectExpr("*", "unix_seconds(txn_ts) as epoch")
+    return txns.selectExpr(
+        "*", "unix_seconds(txn_ts) as epoch", f"try_cast(amount as {MONEY}) as money"
+    )
+
+
+def _with_moments(df: DataFrame) -> DataFrame:
+    """``hist_avg_amount`` and ``hist_std_amount`` from the four columns of MOMENTS.
+
+    Squares are taken about the mean rounded to a unit, in decimals, and moved
+    to the mean itself last; what moves is below a unit.
+    """
+    nan = "double('NaN')"
+    unknown = "odd > 0 or n > 0 and (total is null or squares is null or about is null)"
+    centred = df.selectExpr(
+        "*", f"try_cast(try_divide(double(total), n) as {MONEY}) as centre"
+    ).selectExpr("*", f"try_cast(total - n * centre as {TOTAL}) as rest")
+    around = centred.selectExpr(
+        "*",
+        f"try_cast(squares as {SQUARES}) - try_cast(centre * try_cast(total + rest as {TOTAL}) "
+        f"as {SQUARES}) as about",
+    )
+    spread = "double(about) - try_divide(double(rest) * double(rest), n)"
+    return around.selectExpr(
+        "*",
+        f"case when n + odd = 0 then null when {unknown} then {nan} "
+        "else try_divide(double(total), n) end as hist_avg_amount",
+        f"case when n + odd < 2 then null when {unknown} then {nan} "
+        f"else sqrt(greatest(0D, {spread}) / (n - 1)) end as hist_std_amount",
+    ).drop(*MOMENTS, "centre", "rest", "about")
 
 
 def _with_country_stays(df: DataFrame, group: str) -> DataFrame:
@@ -136,11 +178,10 @@ def _whole_users(txns: DataFrame) -> DataFrame:
     with_past = marked.selectExpr(
         "*",
         f"lag({CONTEXT}) over ({timeline}) as prev",
-        f"avg(amount) over ({timeline} {BEFORE}) as hist_avg_amount",
-        f"stddev_samp(amount) over ({timeline} {BEFORE}) as hist_std_amount",
+        *[f"{sql} over ({timeline} {BEFORE}) as {name}" for name, sql in MOMENTS.items()],
     )
     figures = _with_trailing_figures(with_past, "user_id", "int(txn_id is not null)")
-    return figures.drop("epoch", "stay_begins", "stay_ends")
+    return _with_moments(figures).drop("epoch", "money", "stay_begins", "stay_ends")
 
 
 # -- hot users -------------------------------------------------------------
@@ -158,23 +199,26 @@ def _sliced_users(txns: DataFrame, hot: HotKeys, rows_per_task: int) -> DataFram
     local = stored.selectExpr(
         "*",
         f"lag({CONTEXT}) over ({timeline}) as local_prev",
-        f"count(amount) over ({timeline} {BEFORE}) as local_n",
-        f"avg(amount) over ({timeline} {BEFORE}) as local_mean",
-        f"var_pop(amount) over ({timeline} {BEFORE}) as local_var",
+        *[f"{sql} over ({timeline} {BEFORE}) as local_{name}" for name, sql in MOMENTS.items()],
     )
     in_slice = "slice <=> at_slice and user_id <=> at_user"
     joined = local.join(state, F.expr(in_slice)).drop("at_slice", "at_user")
-    # Moments of two disjoint sets of amounts, put together.
-    merged = joined.selectExpr(
-        "*",
-        "state_n + local_n as n",
-        "coalesce(local_mean, 0) - coalesce(state_mean, 0) as delta",
-    ).selectExpr(
-        "*",
-        "if(n > 0, coalesce(state_mean, 0) + delta * local_n / n, null) as hist_avg_amount",
-        "if(n > 1, sqrt((coalesce(state_m2, 0) + coalesce(local_var * local_n, 0) "
-        "+ delta * delta * state_n * local_n / n) / (n - 1)), null) as hist_std_amount",
-        "coalesce(local_prev, state_prev) as prev",
+
+    def added(name: str, kind: str) -> str:
+        """Null where there are rows but no sum, which is too large then."""
+        here = f"if(local_n > 0, try_cast(local_{name} as {kind}), 0)"
+        before = f"if(state_n > 0, try_cast(state_{name} as {kind}), 0)"
+        return f"try_cast({here} + {before} as {kind}) as {name}"
+
+    merged = _with_moments(
+        joined.selectExpr(
+            "*",
+            "state_n + local_n as n",
+            added("total", TOTAL),
+            added("squares", SQUARES),
+            "state_odd + local_odd as odd",
+            "coalesce(local_prev, state_prev) as prev",
+        )
     )
     in_second = f"{in_slice} and epoch <=> at_epoch"
     return merged.join(_clock_figures(stored), F.expr(in_second)).select(
@@ -219,37 +263,27 @@ def _state_before_slice(stored: DataFrame) -> DataFrame:
     """
     per_slice = stored.groupBy("slice", "user_id").agg(
         F.expr(f"max_by({CONTEXT}, struct({TIMELINE}, row_no)) as last"),
-        F.expr("count(amount) as n"),
-        F.expr("avg(amount) as mean"),
-        F.expr("var_pop(amount) * count(amount) as m2"),
+        F.expr(f"{MOMENTS['n']} as n"),
+        F.expr(f"try_cast({MOMENTS['total']} as {TOTAL}) as total"),
+        F.expr(f"try_cast({MOMENTS['squares']} as {SQUARES}) as squares"),
+        F.expr(f"{MOMENTS['odd']} as odd"),
     )
     slices = "partition by user_id order by slice"
     earlier = f"over ({slices} {BEFORE})"
-    # Means are taken relative to the user's first one, which keeps the squares
-    # small next to the deviations they are subtracted from.
-    shifted = per_slice.selectExpr(
-        "*",
-        f"first(mean, true) over ({slices} rows between unbounded preceding "
-        "and unbounded following) as origin",
-    ).selectExpr("*", "mean - origin as shift")
-    sums = shifted.selectExpr(
+
+    def carried(name: str) -> str:
+        """The sum of all earlier slices; null if one of them has rows but no sum."""
+        lost = f"count_if(n > 0 and {name} is null) {earlier}"
+        return f"if({lost} > 0, null, try_sum({name}) {earlier}) as state_{name}"
+
+    return per_slice.selectExpr(
         "slice as at_slice",
         "user_id as at_user",
         f"lag(last) over ({slices}) as state_prev",
         f"coalesce(sum(n) {earlier}, 0) as state_n",
-        "origin",
-        f"sum(n * shift) {earlier} as moved",
-        f"sum(n * shift * shift) {earlier} as spread",
-        f"sum(m2) {earlier} as within",
-    )
-    return sums.selectExpr(
-        "at_slice",
-        "at_user",
-        "state_prev",
-        "state_n",
-        "if(state_n > 0, origin + moved / state_n, null) as state_mean",
-        "if(state_n > 0, greatest(0, within + spread - moved * moved / state_n), null) "
-        "as state_m2",
+        carried("total"),
+        carried("squares"),
+        f"coalesce(sum(odd) {earlier}, 0) as state_odd",
     )
 
 

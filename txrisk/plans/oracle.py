@@ -123,26 +123,37 @@ def _scored(source: str) -> str:
     points = " + ".join(f"CASE WHEN {cond} THEN {pts} ELSE 0 END" for _, pts, cond in _RULES)
     codes = ", ".join(f"CASE WHEN {cond} THEN '{code}' END" for code, _, cond in _RULES)
     return f"""
-timed AS (SELECT *, epoch_us(txn_ts) // 1000000 AS epoch FROM {source}),
+timed AS (
+  SELECT *, epoch_us(txn_ts) // 1000000 AS epoch,
+         CAST(CAST(amount AS decimal(16, 4)) * 10000 AS hugeint) AS units
+  FROM {source}
+),
 hist AS (
   SELECT *,
          lag(txn_country) OVER w AS prev_country, lag(txn_city) OVER w AS prev_city,
          lag(lat) OVER w AS prev_lat, lag(lon) OVER w AS prev_lon,
          lag(txn_ts) OVER w AS prev_txn_ts, lag(device) OVER w AS prev_device,
          lag(epoch) OVER w AS prev_epoch,
-         avg(amount) OVER (PARTITION BY user_id ORDER BY txn_ts, txn_id
-           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hist_avg_amount,
-         stddev_samp(amount) OVER (PARTITION BY user_id ORDER BY txn_ts, txn_id
-           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hist_std_amount,
+         count(units) OVER past AS hist_n, sum(units) OVER past AS hist_sum,
+         sum(units * units) OVER past AS hist_squares,
          count(txn_id) OVER (PARTITION BY user_id ORDER BY epoch
            RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS txns_1h,
          count(DISTINCT txn_country) OVER (PARTITION BY user_id ORDER BY epoch
            RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS countries_24h
   FROM timed
-  WINDOW w AS (PARTITION BY user_id ORDER BY txn_ts, txn_id)
+  WINDOW w AS (PARTITION BY user_id ORDER BY txn_ts, txn_id),
+         past AS (PARTITION BY user_id ORDER BY txn_ts, txn_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ),
 trip AS (
-  SELECT *, round((epoch - prev_epoch) / 60, 2) AS mins_since_prev,
+  SELECT *,
+         CASE WHEN hist_n > 0 THEN CAST(hist_sum AS double) / 10000 / hist_n END
+           AS hist_avg_amount,
+         CASE WHEN hist_n > 1
+              THEN sqrt(CAST(hist_n * CAST(hist_squares AS hugeint)
+                             - CAST(hist_sum AS hugeint) * CAST(hist_sum AS hugeint) AS double)
+                        / hist_n / (hist_n - 1)) / 10000 END AS hist_std_amount,
+         round((epoch - prev_epoch) / 60, 2) AS mins_since_prev,
          {_km("prev_lat", "prev_lon", "lat", "lon")} AS km_since_prev
   FROM hist
 ),
@@ -186,8 +197,8 @@ def _shown(name: str) -> str:
         return f"strftime({name}, '%Y-%m-%d %H:%M:%S.%f') AS {name}"
     if name in ("process_date", "created_on"):
         return f"CAST({name} AS varchar) AS {name}"
-    if name in ("hist_avg_amount", "hist_std_amount"):
-        return f"round({name} + 1e-7, 2) AS {name}"
+    if name == "hist_std_amount":
+        return f"round({name}, 6) AS {name}"
     return name
 
 

@@ -83,9 +83,8 @@ def show(df: DataFrame, *names: str) -> DataFrame:
             text = f"cast({name} as string)"
         elif name in _LISTS:
             text = f"array_join({name}, ',')"
-        elif name in ("hist_avg_amount", "hist_std_amount"):
-            # Nudged off the halves, which engines round either way.
-            text = f"round({name} + 1e-7, 2)"
+        elif name == "hist_std_amount":
+            text = f"round({name}, 6)"
         elif name in _WHOLE:
             text = f"cast({name} as bigint)"
         else:
