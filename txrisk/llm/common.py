@@ -37,6 +37,10 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 
 
+def n_chunks(docs: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> int:
+    return max(1, -(-text_bytes(docs, text) // chunk_bytes))
+
+
 def in_chunks(
     docs: DataFrame, doc_id: str, text: str, chunk_bytes: int = CHUNK_BYTES
 ) -> DataFrame:
@@ -45,27 +49,24 @@ def in_chunks(
     A chunk has about ``chunk_bytes`` of text. The hash of id and text that
     deals them out keeps a retried task the same.
     """
-    chunks = max(1, -(-text_bytes(docs, text) // chunk_bytes))
+    chunks = n_chunks(docs, text, chunk_bytes)
     keyed = docs.select(
         F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")
     ).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     return keyed.repartition(chunks, "chunk")
 
 
-def packed_in_chunks(
-    docs: DataFrame, doc_id: str, text: str, chunk_bytes: int = CHUNK_BYTES
-) -> DataFrame:
+def packed_in_chunks(docs: DataFrame, doc_id: str, text: str, chunks: int) -> DataFrame:
     """As :func:`in_chunks`, but ``chunk`` and ``docs``: compressed tables of id and text.
 
     What a batch has for a chunk is one row, so a shuffle moves compressed texts.
     """
-    chunks = max(1, -(-text_bytes(docs, text) // chunk_bytes))
     keyed = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).withColumn(
         "chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
         for batch in batches:
             found, tables = np.unique(batch.column("chunk").to_numpy()), []
             rows = batch.select(["doc_id", "text"])

@@ -22,17 +22,19 @@ columns are not looked at.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import packed_in_chunks, unpacked
+from txrisk.llm.common import n_chunks, packed_in_chunks, shuffle_parts, unpacked
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0  # below the lowest score of the table, as the public encoder has it
@@ -42,7 +44,8 @@ MAX_PIECES = 1_000_000
 LONG_UNIT = 512
 # A task holds the texts of a chunk, its units and their ids.
 CHUNK_BYTES = 8 << 20
-_WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+# Within a chunk, arrays over characters are made for so many bytes of text at a time.
+RUN_BYTES = 2 << 20
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -77,6 +80,8 @@ class Pieces:
                 raw.append(piece.replace(BLANK, " ").encode("utf-8", "surrogatepass"))
         if min(byte_ids) < 0:
             raise ValueError("the table has no piece for some bytes")
+        if BLANK not in scores:
+            raise ValueError("the table has no piece for a blank")
         if any(BLANK in p.lstrip(BLANK) for p in scores):
             raise ValueError("a piece goes on after a blank")
         lowest = min(s for _, s in scores.values())
@@ -85,11 +90,10 @@ class Pieces:
             scores, byte_ids, raw, max(map(len, scores)), lowest - UNKNOWN_PENALTY, adjacent
         )
 
-    def cut(self, word: str) -> list[str]:
-        """``word`` between characters that follow each other in no piece."""
-        pairs = zip(word, word[1:], strict=False)
-        at = [i for i, pair in enumerate(pairs, 1) if pair not in self.adjacent]
-        return [word[a:b] for a, b in zip([0, *at], [*at, len(word)], strict=True)] if at else [word]
+    @property
+    def id_bytes(self) -> int:
+        """Bytes of an id on its way back to the chunks."""
+        return 2 if len(self.raw) <= 1 << 16 else 4
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(p, i, s) for p, (i, s) in self.scores.items()]
@@ -100,9 +104,64 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-def words(text: str) -> list[str]:
-    """A text with a blank before it, cut before each run of blanks."""
-    return _WORD.findall(BLANK + text.replace(" ", BLANK)) if text else []
+@dataclass(frozen=True)
+class Borders:
+    """Classes of characters (0: in no pair), and which classes follow each other in a piece."""
+
+    classes: np.ndarray
+    follows: np.ndarray
+
+    @staticmethod
+    def of(pieces: Pieces) -> Borders:
+        place = {c: i for i, c in enumerate(sorted(set(chain.from_iterable(pieces.adjacent))), 1)}
+        classes = np.zeros(max(map(ord, place), default=0) + 2, np.int16 if len(place) < 1 << 15 else np.int32)
+        follows = np.zeros((len(place) + 1, len(place) + 1), bool)
+        for c, i in place.items():
+            classes[ord(" " if c == BLANK else c)] = i
+        for a, b in pieces.adjacent:
+            follows[place[a], place[b]] = True
+        return Borders(classes, follows)
+
+    def cut(self, texts: list[str]) -> tuple[pa.BinaryArray, np.ndarray]:
+        """The units of all texts, in order, and where each text's begin and end.
+
+        A text gets a blank before it; U+2581 is a blank too.
+        """
+        marked = [" " + t.replace(BLANK, " ") if t else "" for t in texts]
+        joined = "".join(marked)
+        edges = np.concatenate([[0], np.cumsum([len(m) for m in marked], dtype=np.int64)])
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = self.classes[np.minimum(points, len(self.classes) - 1)]
+        blank = points == ord(" ")
+        begins = np.ones(len(points) + 1, bool)
+        begins[1:-1] = ~self.follows[kinds[:-1], kinds[1:]] | (blank[1:] & ~blank[:-1])
+        begins[edges] = True
+        at = np.flatnonzero(begins)
+        widths = np.ones(len(points), np.int8)
+        for least in (0x80, 0x800, 0x10000):
+            widths += points >= least
+        places = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])[at]
+        data = joined.encode("utf-8", "surrogatepass")
+        units = binary(places, pa.py_buffer(data))
+        return units, np.searchsorted(at, edges)
+
+
+def binary(offsets: np.ndarray, data: pa.Buffer) -> pa.BinaryArray:
+    offsets = pa.py_buffer(offsets.astype(np.int32))
+    return pa.BinaryArray.from_buffers(pa.binary(), offsets.size // 4 - 1, [None, offsets, data])
+
+
+def runs(packed: Iterable[pa.Scalar]) -> Iterator[pa.Table]:
+    """The documents of a chunk, RUN_BYTES at a time."""
+    held, size = [], 0
+    for one in packed:
+        held.append(unpacked(one))
+        size += held[-1].nbytes
+        if size >= RUN_BYTES:
+            yield pa.concat_tables(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_tables(held)
 
 
 def encode_long(unit: str, pieces: Pieces) -> list[int]:
@@ -169,6 +228,8 @@ aggregate(
 def encode_units(asked: DataFrame, pieces: Pieces) -> DataFrame:
     """``asked`` (distinct ``unit`` with an array ``chunks``) with ``ids``, by the lattice.
 
+    ``ids`` are bytes, ``id_bytes`` for each id, the high one first.
+
     ``asked`` is hash-partitioned by unit, which exploding keeps, so the grouping
     moves nothing. The first edge of a unit carries its chunks along. The piece
     table is broadcast; it is no larger than MAX_PIECES.
@@ -217,7 +278,8 @@ def encode_units(asked: DataFrame, pieces: Pieces) -> DataFrame:
         k -> element_at(
           array({byte_ids}), cast(conv(substring({hexed}, cast(2 * k + 1 as int), 2), 16, 10) as int) + 1)))))
     """
-    return path.select("unit", "chunks", F.expr(ids).alias("ids"))
+    as_bytes = f"unhex(array_join(transform({ids}, i -> lpad(hex(i), {2 * pieces.id_bytes}, '0')), ''))"
+    return path.select("unit", "chunks", F.expr(as_bytes).alias("ids"))
 
 
 def encode(
@@ -229,84 +291,89 @@ def encode(
     same exchange.
     """
     pieces = Pieces.load(model_file)
-    chunks = packed_in_chunks(docs, doc_id, text, CHUNK_BYTES)
+    n = n_chunks(docs, text, CHUNK_BYTES)
+    chunks = packed_in_chunks(docs, doc_id, text, n)
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def units_of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(chunk: int, found: set[str]) -> pa.RecordBatch:
+        borders = Borders.of(pieces)
+        packed = (
+            pair
+            for batch in batches
+            for pair in zip(batch.column("chunk").to_pylist(), batch.column("docs"), strict=True)
+        )
+        # sorted by chunk, so that the units of one chunk are held at a time
+        for chunk, of_chunk in groupby(packed, itemgetter(0)):
+            found = pa.chunked_array(
+                [pc.unique(borders.cut(t.column("text").to_pylist())[0]) for t in runs(d for _, d in of_chunk)],
+                pa.binary(),
+            )
+            units = pc.unique(found).cast(pa.string())
+            units = units.filter(pc.less_equal(pc.utf8_length(units), LONG_UNIT))
+            units = pc.replace_substring(units, " ", BLANK)
             # sorted, since neighbours alike compress well
-            units = sorted({u for w in found for u in pieces.cut(w) if len(u) <= LONG_UNIT})
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(units), chunk, np.int32)), pa.array(units, pa.string())],
-                ["chunk", "unit"],
+            units = units.take(pc.sort_indices(units))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(units), chunk, np.int32)), units], ["chunk", "unit"]
             )
 
-        # sorted by chunk, so that the words of one chunk are held at a time
-        last, found = None, set()
-        for batch in batches:
-            for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("docs"), strict=True):
-                if found and chunk != last:
-                    yield rows(last, found)
-                    found = set()
-                last = chunk
-                for t in unpacked(packed).column("text"):
-                    found.update(words(t.as_py()))
-        if found:
-            yield rows(last, found)
-
     # A chunk asks once for a unit, so nothing is to be gathered before the shuffle.
+    # The lattice has dozens of rows for a unit; with two tasks for a chunk it is grouped in memory.
     asked = (
         chunks.sortWithinPartitions("chunk")
         .mapInArrow(units_of_chunks, "chunk int, unit string")
-        .repartition("unit")
+        .repartition(max(2 * n, shuffle_parts(docs)), "unit")
         .groupBy("unit")
         .agg(F.collect_list("chunk").alias("chunks"))
     )
     # The ids spell their unit, which therefore does not travel with them.
     answers = encode_units(asked, pieces).select(F.explode("chunks").alias("chunk"), "ids")
-    blank = " " if BLANK in pieces.scores else BLANK
-
-    def spelled(text: str) -> bytes:
-        return text.replace(BLANK, blank).encode("utf-8", "surrogatepass")
-
-    class Known(dict):
-        """Ids of the words of a chunk as bytes, worked out on first sight; ``bad``: not spelled by them."""
-
-        def __init__(self, ids: pa.ListArray):
-            values = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-            ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
-            sizes = np.cumsum(np.array([len(r) for r in pieces.raw])[values])
-            text = b"".join(map(pieces.raw.__getitem__, values.tolist()))
-            to = sizes[ends - 1].tolist() if len(ends) else []
-            self.values, self.ends, self.bad = values.tobytes(), ends.tolist(), set()
-            self.place = {text[a:b]: i for i, (a, b) in enumerate(zip([0, *to], to, strict=False))}
-
-        def of_unit(self, unit: str) -> bytes:
-            if len(unit) > LONG_UNIT:
-                return np.array(encode_long(unit, pieces), np.int32).tobytes()
-            i = self.place[spelled(unit)]
-            return self.values[4 * (self.ends[i - 1] if i else 0) : 4 * self.ends[i]]
-
-        def __missing__(self, word: str) -> bytes:
-            ids = self[word] = b"".join(map(self.of_unit, pieces.cut(word)))
-            raw = b"".join(map(pieces.raw.__getitem__, np.frombuffer(ids, np.int32).tolist()))
-            if raw != spelled(word):
-                self.bad.add(word)
-            return ids
+    raw = pa.array(pieces.raw, pa.binary())
+
+    def spelled(ids: pa.ListArray) -> pa.BinaryArray:
+        """What each list of ids decodes to."""
+        parts = raw.take(ids.values)
+        offsets = ids.offsets.to_numpy()
+        if not len(parts):
+            return binary(np.zeros(len(offsets)), pa.py_buffer(b""))
+        return binary(np.frombuffer(parts.buffers()[1], np.int32)[offsets], parts.buffers()[2])
+
+    def answered(packed: pa.BinaryArray) -> pa.ListArray:
+        rows = packed.to_pylist()
+        values = np.frombuffer(b"".join(rows), f">u{pieces.id_bytes}").astype(np.int32)
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64) // pieces.id_bytes])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        known, tables = Known(right.column("ids").combine_chunks()), []
-        for packed in left.column("docs"):
-            docs_, rows, good = unpacked(packed), [], []
-            for t in docs_.column("text"):
-                found = words(t.as_py())
-                rows.append(np.frombuffer(b"".join(map(known.__getitem__, found)), np.int32))
-                # A text is spelled by its ids where each of its words is.
-                good.append(not known.bad or known.bad.isdisjoint(found))
-            sizes = np.array([len(r) for r in rows], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
-            columns = [docs_.column("doc_id"), ids, pa.array(sizes), pa.array(good, pa.bool_())]
+        borders, tables = Borders.of(pieces), []
+        short = answered(right.column("ids"))
+        spellings = spelled(short)
+        for t in runs(left.column("docs")):
+            units, bounds = borders.cut(t.column("text").to_pylist())
+            # A unit finds the ids that decode to it; a long one is folded here.
+            found, known, bad = pc.index_in(units, value_set=spellings), short, None
+            if found.null_count:
+                long = pc.unique(units.filter(found.is_null()))
+                names = [u.decode("utf-8", "surrogatepass").replace(" ", BLANK) for u in long.to_pylist()]
+                if any(len(u) <= LONG_UNIT for u in names):
+                    raise ValueError("a unit has no answer")
+                folded = pa.array([encode_long(u, pieces) for u in names], pa.list_(pa.int32()))
+                known = pa.concat_arrays([short, folded])
+                place = pc.add(pc.index_in(units, value_set=long), len(short)).cast(pa.int32())
+                found = pc.coalesce(found, place)
+                bad = np.concatenate([np.zeros(len(short), bool), pc.not_equal(spelled(folded), long).to_numpy(zero_copy_only=False)])
+            ids = known.take(found)
+            offsets = ids.offsets.to_numpy()[bounds]
+            good = np.ones(len(t), bool)
+            if bad is not None:
+                wrong = np.concatenate([[0], np.cumsum(bad[found.to_numpy()])])
+                good = wrong[bounds[1:]] == wrong[bounds[:-1]]
+            columns = [
+                t.column("doc_id"),
+                pa.ListArray.from_arrays(pa.array(offsets), ids.values),
+                pa.array(np.diff(offsets).astype(np.int64)),
+                pa.array(good),
+            ]
             tables.append(pa.table(columns, ["doc_id", "ids", "n_pieces", "round_trip"]))
         return pa.concat_tables(tables)
 
