@@ -34,7 +34,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import n_chunks, packed_in_chunks, shuffle_parts, unpacked
+from txrisk.llm.common import CHUNK_BYTES, n_chunks, packed_in_chunks, shuffle_parts, unpacked
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0  # below the lowest score of the table, as the public encoder has it
@@ -42,8 +42,6 @@ MAX_PIECES = 1_000_000
 # The SQL fold copies its arrays at every step. Units beyond this length are
 # folded where they occur, over the same edges in arrays that are not copied.
 LONG_UNIT = 512
-# A task holds the texts of a chunk, its units and their ids.
-CHUNK_BYTES = 8 << 20
 # Within a chunk, arrays over characters are made for so many bytes of text at a time.
 RUN_BYTES = 2 << 20
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -288,7 +286,7 @@ def encode(
     """``doc_id``, ``ids``, ``n_pieces``, and ``round_trip``: the ids decode to the text.
 
     The texts are shuffled once, packed: both the units and the assembly read the
-    same exchange.
+    same exchange. A task holds the packed texts of a chunk, its units and their ids.
     """
     pieces = Pieces.load(model_file)
     n = n_chunks(docs, text, CHUNK_BYTES)
@@ -318,11 +316,11 @@ def encode(
             )
 
     # A chunk asks once for a unit, so nothing is to be gathered before the shuffle.
-    # The lattice has dozens of rows for a unit; with two tasks for a chunk it is grouped in memory.
+    # The lattice has dozens of rows for a unit; with four tasks for a chunk it is grouped in memory.
     asked = (
         chunks.sortWithinPartitions("chunk")
         .mapInArrow(units_of_chunks, "chunk int, unit string")
-        .repartition(max(2 * n, shuffle_parts(docs)), "unit")
+        .repartition(max(4 * n, shuffle_parts(docs)), "unit")
         .groupBy("unit")
         .agg(F.collect_list("chunk").alias("chunks"))
     )
