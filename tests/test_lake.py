@@ -189,6 +189,8 @@ def test_object_store_settings():
     assert conf["spark.hadoop.fs.s3a.endpoint"] == "http://store:9000"
     assert conf["spark.hadoop.fs.s3a.connection.ssl.enabled"] == "false"
     assert conf["spark.hadoop.fs.s3a.path.style.access"] == "true"
+    assert conf["spark.hadoop.fs.s3a.connection.timeout"] == "60000"
+    assert conf["spark.hadoop.fs.s3a.connection.establish.timeout"] == "5000"
 
 
 def test_transactions_have_declared_columns(spark):

@@ -32,6 +32,8 @@ def object_store_conf(
     *,
     path_style: bool = True,
     tls: bool = True,
+    timeout_ms: int = 60_000,
+    connect_timeout_ms: int = 5_000,
 ) -> dict[str, str]:
     """Settings for a lake root of the form ``s3a://bucket``.
 
@@ -45,6 +47,9 @@ def object_store_conf(
         prefix + "secret.key": secret_key,
         prefix + "path.style.access": str(path_style).lower(),
         prefix + "connection.ssl.enabled": str(tls).lower(),
+        prefix + "connection.timeout": str(timeout_ms),
+        prefix + "connection.request.timeout": str(timeout_ms),
+        prefix + "connection.establish.timeout": str(connect_timeout_ms),
         prefix + "impl": "org.apache.hadoop.fs.s3a.S3AFileSystem",
     }
 
