@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.llm import (
+    conversations,
+    factorisation,
     licenses,
     mixing,
+    negatives,
     neighbours,
     pieces,
     quality,
@@ -83,6 +86,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
+def op11_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return factorisation.judge(docs, labels)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations")
+    return conversations.with_all(conversations.repair(conversations.damage(table)), table)
+
+
+# Rows whose label is moved on by one before the search.
+RELABELLED = "if(vec_id % 7 = 0, (label + 1) % 10, label)"
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings").withColumn("label", F.expr(RELABELLED))
+    return negatives.mine(table, F.col("vec_id") % 100 == 0)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -97,6 +119,9 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_pieces,
         op9_warc_fixity,
         op10_sharding,
+        op11_factorisation,
+        op12_conversation_repair,
+        op13_hard_negatives,
     )
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
