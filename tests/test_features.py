@@ -2,7 +2,7 @@
 
 import datetime as dt
 import random
-import statistics
+from fractions import Fraction
 
 import pytest
 import rows
@@ -217,25 +217,63 @@ def test_against_brute_force(spark, seed, rows_per_task):
                 assert have == value, (name, row)
 
 
-@pytest.mark.parametrize("odd", [[], [float("nan"), 1e25]])
-def test_moments_do_not_depend_on_the_size_of_a_user(spark, odd):
-    """1,500 rows of one user, whole and in slices of 50: equal to the last digit."""
+def _exact_moments(amounts):
+    """Mean and sample deviation before each row by fractions, rounded once."""
+    total = squares = Fraction(0)
+    out = []
+    for n, amount in enumerate(amounts):
+        mean = total / n if n else None
+        spread = (squares - total * total / n) / (n - 1) if n > 1 else None
+        out.append((mean, spread))
+        total, squares = total + Fraction(amount), squares + Fraction(amount) ** 2
+    return out
+
+
+AMOUNTS = {
+    "money": lambda rng: round(rng.uniform(-9000, 9000), 2),
+    "seventeen digits": lambda rng: 1e15 + rng.random(),
+    "small ones": lambda rng: rng.choice([1e-5, 3e-5, 1e-300, -2e-5]),
+    "huge ones": lambda rng: rng.choice([2e12, 4e12, 1e300, -1e300, 3e-7, 0.1, 5e-324]),
+}
+
+
+@pytest.mark.parametrize("kind", AMOUNTS)
+def test_moments_are_exact_and_do_not_depend_on_the_size_of_a_user(spark, kind):
+    """300 rows of one user, whole and in slices of 20: equal, and right to 1e-12."""
     rng = random.Random(5)
     start = dt.datetime(2026, 5, 1, tzinfo=dt.timezone.utc)
-    amounts = [round(rng.uniform(1, 9000), 2) for _ in range(1500 - len(odd))] + odd
+    amounts = [AMOUNTS[kind](rng) for _ in range(300)]
     made = [rows.txn(f"t{i:04d}", user="one", when=start + dt.timedelta(seconds=i), amount=a)
             for i, a in enumerate(amounts)]
     txns = rows.transactions(spark, made)
 
     def moments(rows_per_task):
         got = add_features(txns, rows_per_task=rows_per_task).collect()
-        return {r.txn_id: (repr(r.hist_avg_amount), repr(r.hist_std_amount)) for r in got}
+        return {r.txn_id: (r.hist_avg_amount, r.hist_std_amount) for r in got}
 
     whole = moments(1_000_000)
-    assert whole == moments(50)
-    assert whole["t0001"] == (repr(amounts[0]), "None")
-    assert float(whole["t1000"][1]) == pytest.approx(statistics.stdev(amounts[:1000]), rel=1e-14)
-    assert (whole["t1499"] == ("nan", "nan")) == bool(odd)
+    assert whole == moments(20)
+    for i, (mean, spread) in enumerate(_exact_moments(amounts)):
+        have_mean, have_std = whole[f"t{i:04d}"]
+        assert (have_mean is None) == (mean is None) and (have_std is None) == (spread is None)
+        if mean is not None:
+            assert abs(Fraction(have_mean) - mean) <= abs(mean) / 10**12
+        if spread is not None:
+            assert abs(Fraction(have_std) ** 2 - spread) <= 3 * spread / 10**12
+
+
+def test_amounts_that_are_not_finite(spark):
+    """As plain arithmetic: an infinity is the mean of what follows, and has no deviation."""
+    start = dt.datetime(2026, 5, 1, tzinfo=dt.timezone.utc)
+    inf = float("inf")
+    for odd, mean in ((float("nan"), "nan"), (inf, "inf"), (-inf, "-inf")):
+        made = [rows.txn(f"t{i}", user="one", when=start + dt.timedelta(seconds=i), amount=a)
+                for i, a in enumerate([1.0, 3.0, odd, None, 5.0, 6.0])]
+        for rows_per_task in (1_000_000, 2):
+            got = {r.txn_id: (repr(r.hist_avg_amount), repr(r.hist_std_amount))
+                   for r in add_features(rows.transactions(spark, made), rows_per_task=rows_per_task).collect()}
+            assert got["t2"][0] == "2.0" and got["t2"][1] == repr(2**0.5)
+            assert got["t3"] == got["t4"] == got["t5"] == (mean, "nan")
 
 
 def test_equal_amounts_have_no_deviation(spark):
@@ -250,7 +288,7 @@ def test_copies_of_one_row_are_split(spark):
     made += [rows.txn(f"t{i}", when=f"2026-05-2{i % 3} 0{i % 9}:00:00", amount=float(i))
              for i in range(200)]
     txns = rows.transactions(spark, made)
-    sliced = behaviour._store_slices(behaviour._with_epoch(txns), 12)
+    sliced = behaviour._store_slices(txns.selectExpr("*", "unix_seconds(txn_ts) as epoch"), 12)
     assert sliced.count() == 600
     assert sliced.groupBy("slice").count().agg({"count": "max"}).first()[0] <= 4 * 50
     got = {}

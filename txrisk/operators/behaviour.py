@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txrisk.functions import exact
 from txrisk.functions.columns import great_circle_km
 from txrisk.operators.skew import ROWS_PER_TASK, HotKeys, find_hot_keys
 from txrisk.schemas import FEATURES, TRANSACTIONS
@@ -41,20 +42,6 @@ TIMELINE = ", ".join(("epoch", *TIME_ORDER))
 
 BEFORE = "rows between unbounded preceding and 1 preceding"
 
-# Mean and deviation come from exact sums of the amounts and their squares, so
-# they are the same however the rows are cut. An amount counts in units of
-# 1/10000; one that is NaN, or 10^12 or more, has no exact form, and leaves mean
-# and deviation NaN for the rows after it. So do squares that add up to 10^29.
-MONEY = "decimal(16,4)"
-TOTAL = "decimal(21,4)"
-SQUARES = "decimal(37,8)"
-MOMENTS = {
-    "n": "count(money)",
-    "total": "try_sum(money)",
-    "squares": "try_sum(money * money)",
-    "odd": "count_if(amount is not null and money is null)",
-}
-
 # The context handed to the next transaction.
 CONTEXT = (
     "struct(txn_country as prev_country, txn_city as prev_city, lat as prev_lat, "
@@ -70,21 +57,29 @@ UNEVEN = 4
 
 
 def add_features(
-    txns: DataFrame, hot: HotKeys | None = None, rows_per_task: int = ROWS_PER_TASK
+    txns: DataFrame,
+    hot: HotKeys | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
+    span: exact.Span | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Append the feature columns to transactions.
 
-    ``hot`` lists the users with more than ``rows_per_task`` rows. Without it
-    they are looked up in ``txns``, which runs one job over the user column.
+    ``hot`` lists the users with more than ``rows_per_task`` rows, ``span`` the
+    magnitudes of the amounts. Without them they are looked up in ``txns``, which
+    runs one job over the user column and one over the amounts. ``tasks`` is the
+    number of tasks for the users that fit one; without it the session decides.
     """
     if hot is None:
         hot = find_hot_keys(txns, "user_id", rows_per_task)
+    if span is None:
+        span = exact.span_of(txns, "amount")
     if hot:
-        history = _whole_users(hot.without(txns, "user_id")).unionByName(
-            _sliced_users(hot.only(txns, "user_id"), hot, rows_per_task)
+        history = _whole_users(hot.without(txns, "user_id"), span, tasks).unionByName(
+            _sliced_users(hot.only(txns, "user_id"), hot, rows_per_task, span)
         )
     else:
-        history = _whole_users(txns)
+        history = _whole_users(txns, span, tasks)
     return _derive(history)
 
 
@@ -92,35 +87,11 @@ def add_features(
 
 
 def _with_epoch(txns: DataFrame) -> DataFrame:
-    return txns.selectExpr(
-        "*", "unix_seconds(txn_ts) as epoch", f"try_cast(amount as {MONEY}) as money"
-    )
+    return exact.with_limbs(txns.selectExpr("*", "unix_seconds(txn_ts) as epoch"), "amount")
 
 
-def _with_moments(df: DataFrame) -> DataFrame:
-    """``hist_avg_amount`` and ``hist_std_amount`` from the four columns of MOMENTS.
-
-    Squares are taken about the mean rounded to a unit, in decimals, and moved
-    to the mean itself last; what moves is below a unit.
-    """
-    nan = "double('NaN')"
-    unknown = "odd > 0 or n > 0 and (total is null or squares is null or about is null)"
-    centred = df.selectExpr(
-        "*", f"try_cast(try_divide(double(total), n) as {MONEY}) as centre"
-    ).selectExpr("*", f"try_cast(total - n * centre as {TOTAL}) as rest")
-    around = centred.selectExpr(
-        "*",
-        f"try_cast(squares as {SQUARES}) - try_cast(centre * try_cast(total + rest as {TOTAL}) "
-        f"as {SQUARES}) as about",
-    )
-    spread = "double(about) - try_divide(double(rest) * double(rest), n)"
-    return around.selectExpr(
-        "*",
-        f"case when n + odd = 0 then null when {unknown} then {nan} "
-        "else try_divide(double(total), n) end as hist_avg_amount",
-        f"case when n + odd < 2 then null when {unknown} then {nan} "
-        f"else sqrt(greatest(0D, {spread}) / (n - 1)) end as hist_std_amount",
-    ).drop(*MOMENTS, "centre", "rest", "about")
+def _with_moments(df: DataFrame, span: exact.Span) -> DataFrame:
+    return exact.with_mean_and_deviation(df, span, "hist_avg_amount", "hist_std_amount")
 
 
 def _with_country_stays(df: DataFrame, group: str) -> DataFrame:
@@ -172,53 +143,54 @@ def _with_trailing_figures(df: DataFrame, group: str, counted: str) -> DataFrame
 # -- ordinary users --------------------------------------------------------
 
 
-def _whole_users(txns: DataFrame) -> DataFrame:
+def _whole_users(txns: DataFrame, span: exact.Span, tasks: int | None) -> DataFrame:
     timeline = f"partition by user_id order by {TIMELINE}"
+    if tasks is not None:
+        txns = txns.repartition(tasks, "user_id")
     marked = _with_country_stays(_with_epoch(txns), "user_id")
+    moments = exact.moments(span, "amount")
     with_past = marked.selectExpr(
         "*",
         f"lag({CONTEXT}) over ({timeline}) as prev",
-        *[f"{sql} over ({timeline} {BEFORE}) as {name}" for name, sql in MOMENTS.items()],
+        *[f"{sql} over ({timeline} {BEFORE}) as {name}" for name, sql in moments.items()],
     )
     figures = _with_trailing_figures(with_past, "user_id", "int(txn_id is not null)")
-    return _with_moments(figures).drop("epoch", "money", "stay_begins", "stay_ends")
+    return _with_moments(figures, span).drop("epoch", *exact.LIMBS, "stay_begins", "stay_ends")
 
 
 # -- hot users -------------------------------------------------------------
 
 
-def _sliced_users(txns: DataFrame, hot: HotKeys, rows_per_task: int) -> DataFrame:
+def _sliced_users(
+    txns: DataFrame, hot: HotKeys, rows_per_task: int, span: exact.Span
+) -> DataFrame:
     slices = min(MAX_SLICES, -(-hot.rows // rows_per_task) + 1)
-    stored = _store_slices(_with_epoch(txns), slices)
-    state = _state_before_slice(stored)
+    stored = _store_slices(txns.selectExpr("*", "unix_seconds(txn_ts) as epoch"), slices)
+    moments = exact.moments(span, "amount")
+    counted = exact.with_limbs(stored, "amount")
+    state = _state_before_slice(counted, moments)
     # One row per slice and user in it: each hot user adds at most one to the slices.
     if slices + hot.keys <= 2 * MAX_SLICES:
         state = F.broadcast(state)
 
     timeline = f"partition by slice, user_id order by {TIMELINE}, row_no"
-    local = stored.selectExpr(
+    local = counted.selectExpr(
         "*",
         f"lag({CONTEXT}) over ({timeline}) as local_prev",
-        *[f"{sql} over ({timeline} {BEFORE}) as local_{name}" for name, sql in MOMENTS.items()],
+        *[f"{sql} over ({timeline} {BEFORE}) as local_{name}" for name, sql in moments.items()],
     )
     in_slice = "slice <=> at_slice and user_id <=> at_user"
     joined = local.join(state, F.expr(in_slice)).drop("at_slice", "at_user")
-
-    def added(name: str, kind: str) -> str:
-        """Null where there are rows but no sum, which is too large then."""
-        here = f"if(local_n > 0, try_cast(local_{name} as {kind}), 0)"
-        before = f"if(state_n > 0, try_cast(state_{name} as {kind}), 0)"
-        return f"try_cast({here} + {before} as {kind}) as {name}"
-
     merged = _with_moments(
         joined.selectExpr(
             "*",
-            "state_n + local_n as n",
-            added("total", TOTAL),
-            added("squares", SQUARES),
-            "state_odd + local_odd as odd",
+            *[
+                f"coalesce(state_{name}, {exact.zero(name)}) + coalesce(local_{name}, {exact.zero(name)}) as {name}"
+                for name in moments
+            ],
             "coalesce(local_prev, state_prev) as prev",
-        )
+        ),
+        span,
     )
     in_second = f"{in_slice} and epoch <=> at_epoch"
     return merged.join(_clock_figures(stored), F.expr(in_second)).select(
@@ -255,35 +227,22 @@ def _store_slices(txns: DataFrame, slices: int) -> DataFrame:
     return stored
 
 
-def _state_before_slice(stored: DataFrame) -> DataFrame:
+def _state_before_slice(counted: DataFrame, moments: dict[str, str]) -> DataFrame:
     """For each slice and user: last context and amount moments of all earlier slices.
 
     One input row per slice and user, so a user's window is at most MAX_SLICES
     rows long.
     """
-    per_slice = stored.groupBy("slice", "user_id").agg(
+    per_slice = counted.groupBy("slice", "user_id").agg(
         F.expr(f"max_by({CONTEXT}, struct({TIMELINE}, row_no)) as last"),
-        F.expr(f"{MOMENTS['n']} as n"),
-        F.expr(f"try_cast({MOMENTS['total']} as {TOTAL}) as total"),
-        F.expr(f"try_cast({MOMENTS['squares']} as {SQUARES}) as squares"),
-        F.expr(f"{MOMENTS['odd']} as odd"),
+        *[F.expr(f"{sql} as {name}") for name, sql in moments.items()],
     )
     slices = "partition by user_id order by slice"
-    earlier = f"over ({slices} {BEFORE})"
-
-    def carried(name: str) -> str:
-        """The sum of all earlier slices; null if one of them has rows but no sum."""
-        lost = f"count_if(n > 0 and {name} is null) {earlier}"
-        return f"if({lost} > 0, null, try_sum({name}) {earlier}) as state_{name}"
-
     return per_slice.selectExpr(
         "slice as at_slice",
         "user_id as at_user",
         f"lag(last) over ({slices}) as state_prev",
-        f"coalesce(sum(n) {earlier}, 0) as state_n",
-        carried("total"),
-        carried("squares"),
-        f"coalesce(sum(odd) {earlier}, 0) as state_odd",
+        *[f"sum({name}) over ({slices} {BEFORE}) as state_{name}" for name in moments],
     )
 
 

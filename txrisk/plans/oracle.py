@@ -124,9 +124,7 @@ def _scored(source: str) -> str:
     codes = ", ".join(f"CASE WHEN {cond} THEN '{code}' END" for code, _, cond in _RULES)
     return f"""
 timed AS (
-  SELECT *, epoch_us(txn_ts) // 1000000 AS epoch,
-         CAST(CAST(amount AS decimal(16, 4)) * 10000 AS hugeint) AS units
-  FROM {source}
+  SELECT *, epoch_us(txn_ts) // 1000000 AS epoch FROM {source}
 ),
 hist AS (
   SELECT *,
@@ -134,8 +132,8 @@ hist AS (
          lag(lat) OVER w AS prev_lat, lag(lon) OVER w AS prev_lon,
          lag(txn_ts) OVER w AS prev_txn_ts, lag(device) OVER w AS prev_device,
          lag(epoch) OVER w AS prev_epoch,
-         count(units) OVER past AS hist_n, sum(units) OVER past AS hist_sum,
-         sum(units * units) OVER past AS hist_squares,
+         avg(amount) OVER past AS hist_avg_amount,
+         stddev_samp(amount) OVER past AS hist_std_amount,
          count(txn_id) OVER (PARTITION BY user_id ORDER BY epoch
            RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS txns_1h,
          count(DISTINCT txn_country) OVER (PARTITION BY user_id ORDER BY epoch
@@ -147,12 +145,6 @@ hist AS (
 ),
 trip AS (
   SELECT *,
-         CASE WHEN hist_n > 0 THEN CAST(hist_sum AS double) / 10000 / hist_n END
-           AS hist_avg_amount,
-         CASE WHEN hist_n > 1
-              THEN sqrt(CAST(hist_n * CAST(hist_squares AS hugeint)
-                             - CAST(hist_sum AS hugeint) * CAST(hist_sum AS hugeint) AS double)
-                        / hist_n / (hist_n - 1)) / 10000 END AS hist_std_amount,
          round((epoch - prev_epoch) / 60, 2) AS mins_since_prev,
          {_km("prev_lat", "prev_lon", "lat", "lon")} AS km_since_prev
   FROM hist
@@ -197,8 +189,9 @@ def _shown(name: str) -> str:
         return f"strftime({name}, '%Y-%m-%d %H:%M:%S.%f') AS {name}"
     if name in ("process_date", "created_on"):
         return f"CAST({name} AS varchar) AS {name}"
-    if name == "hist_std_amount":
-        return f"round({name}, 6) AS {name}"
+    if name in ("hist_avg_amount", "hist_std_amount"):
+        # plain avg and stddev_samp round at every step; what is compared is to 9 and 6 places
+        return f"round({name}, {9 if name == 'hist_avg_amount' else 6}) AS {name}"
     return name
 
 

@@ -83,8 +83,8 @@ def show(df: DataFrame, *names: str) -> DataFrame:
             text = f"cast({name} as string)"
         elif name in _LISTS:
             text = f"array_join({name}, ',')"
-        elif name == "hist_std_amount":
-            text = f"round({name}, 6)"
+        elif name in ("hist_avg_amount", "hist_std_amount"):
+            text = f"round({name}, {9 if name == 'hist_avg_amount' else 6})"
         elif name in _WHOLE:
             text = f"cast({name} as bigint)"
         else:
