@@ -6,6 +6,7 @@ from fractions import Fraction
 
 import pytest
 import rows
+from pyspark.sql import functions as F
 
 from txrisk.operators import behaviour
 from txrisk.operators.behaviour import add_features
@@ -13,6 +14,7 @@ from txrisk.operators.scoring import add_risk, rules
 from txrisk.operators.skew import HotKeys, find_hot_keys, join_spread
 from txrisk.operators.transactions import from_scenarios
 from txrisk.schemas import ENRICHED
+from txrisk.session import materialize
 from txrisk.sources.files import read_scenarios, read_users
 
 GOLDEN = {  # txns_1h, countries_24h, minutes, km, km/h, abnormal, score, level, decision, reasons
@@ -327,7 +329,7 @@ def test_salted_join_equals_plain_join(spark):
     hot = find_hot_keys(facts, "user_id", 50)
     assert hot.keys >= 2
     plain = sorted(facts.join(dim, "user_id").collect())
-    salted = join_spread(facts, dim, "user_id", "txn_id", hot)
+    salted = join_spread(facts, dim, "user_id", hot)
     assert sorted(salted.select("user_id", "txn_id", "amount", "mark").collect(), key=str) == sorted(
         plain, key=str)
 
@@ -338,3 +340,24 @@ def test_hot_keys_are_estimated_from_a_sample(spark):
     assert hot.keys == 1
     assert hot.rows == pytest.approx(133_334, rel=0.15)
     assert hot.table.first().hot_key == -1
+
+
+def test_equal_rows_of_a_hot_key_part(spark):
+    """4,000 rows of one user and one id over 40 shares: no task gets more than a few hundred."""
+    facts = materialize(
+        spark.range(4_000).selectExpr("'one' as user_id", "'same' as txn_id"), "facts"
+    )
+    people = spark.createDataFrame([("one", 1), ("two", 2)], "user_id string, mark int")
+    hot = find_hot_keys(facts, "user_id", 100)
+    assert hot.table.first().shares == 40
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        joined = join_spread(facts, people, "user_id", hot)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert sum(sizes) == 4_000 and max(sizes) <= 500

@@ -1,12 +1,14 @@
 """Sources, quality gate, layers and the batch job."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 import rows
 
 from txrisk import session
 from txrisk.operators import quality, serving
+from txrisk.operators.skew import HotKeys
 from txrisk.operators.transactions import from_scenarios
 from txrisk.__main__ import main
 from txrisk.plans import lake, pipeline
@@ -102,7 +104,7 @@ def job(spark, tmp_path, extra=(), root="lake", **options):
 def test_job_publishes_all_layers(spark, tmp_path, rows_per_task):
     got = {r.metric: r.value for r in job(spark, tmp_path, rows_per_task=rows_per_task).collect()}
     assert got == dict(users=5, transactions=7, enriched_transactions=7, alerts=1,
-                       alerts_medium=0, alerts_high=0, alerts_critical=1)
+                       alerts_medium=0, alerts_high=0, alerts_critical=1, largest_user=2)
     root = str(tmp_path / "lake")
     stored = {layer.folder: lake.read(spark, root, layer) for layer in lake.LAYERS}
     assert {name: df.count() for name, df in stored.items()} == {
@@ -119,17 +121,74 @@ def test_job_publishes_all_layers(spark, tmp_path, rows_per_task):
     assert silver["scenario_valor_alto"].mins_since_prev == 120.0
 
 
+def files(folder):
+    return sorted(p for p in folder.rglob("*") if p.is_file())
+
+
+BAD = [("x", "user_00001", "BR", -5.0, "web", 1, "2026-05-20 10:00:00")]
+
+
 def test_failed_gate_leaves_the_lake_alone(spark, tmp_path):
+    """After a failed run readers see the old rows, and nothing of the run is left."""
     job(spark, tmp_path)
-    before = sorted(p for p in (tmp_path / "lake").rglob("*") if p.is_file())
+    before = files(tmp_path / "lake")
+    with pytest.raises(quality.QualityError):
+        job(spark, tmp_path, extra=BAD)
+    assert files(tmp_path / "lake") == before
+    reads = LakeReads(spark, str(tmp_path / "lake"))
+    assert reads.transactions().count() == 7 and reads.quality().count() == 9
     with pytest.raises(quality.QualityError):
-        job(spark, tmp_path, extra=[("x", "user_00001", "BR", -5.0, "web", 1,
-                                     "2026-05-20 10:00:00")])
-    assert sorted(p for p in (tmp_path / "lake").rglob("*") if p.is_file()) == before
+        job(spark, tmp_path, root="fresh", extra=BAD)
+    assert files(tmp_path / "fresh") == []
+    assert LakeReads(spark, str(tmp_path / "fresh")).top_alerts().count() == 0
+
+
+def test_job_leaves_nothing_in_the_shared_folder(spark, tmp_path):
+    shared = Path(session.shared_folder(spark))
+    before = set(shared.iterdir())
+    job(spark, tmp_path, rows_per_task=1)
     with pytest.raises(quality.QualityError):
-        job(spark, tmp_path, root="fresh",
-            extra=[("x", "user_00001", "BR", -5.0, "web", 1, "2026-05-20 10:00:00")])
-    assert not (tmp_path / "fresh").exists()
+        job(spark, tmp_path, extra=BAD, rows_per_task=1)
+    assert set(shared.iterdir()) == before
+
+
+def test_readers_stay_with_their_run(spark, tmp_path):
+    """A reader keeps its run while the next is published; the one before it is deleted then."""
+    root = str(tmp_path / "lake")
+    job(spark, tmp_path)
+    first = LakeReads(spark, root)
+    rows_of_first = first.transactions()
+    late = [("late", "user_00001", "BR", 5.0, "mobile", 1, "2026-05-20 13:00:00")]
+    job(spark, tmp_path, extra=late)
+    assert rows_of_first.count() == first.enriched().count() == 7
+    assert LakeReads(spark, root).enriched().count() == 8
+    job(spark, tmp_path)
+    runs = {p.name for p in (tmp_path / "lake" / lake.SILVER.folder).iterdir()}
+    assert len(runs) == lake.KEPT_RUNS and f"run={first.run}" not in runs
+    assert LakeReads(spark, root).enriched().count() == 7
+
+
+def test_a_run_that_is_not_published_is_not_read(spark, tmp_path):
+    run = lake.new_run()
+    lake.write_layer(rows.users(spark), str(tmp_path), lake.BRONZE_USERS, run)
+    assert lake.read(spark, str(tmp_path), lake.BRONZE_USERS).count() == 0
+    lake.publish(spark, str(tmp_path), run)
+    assert lake.read(spark, str(tmp_path), lake.BRONZE_USERS).count() == 5
+
+
+def test_files_follow_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lake, "ROWS_PER_FILE", 40)
+    made = rows.enriched(spark, [
+        dict(txn_id=f"t{i}", user_id="one", process_date=DAY, risk_level="HIGH") for i in range(400)
+    ])
+    assert lake.files_for(spark, 400) == 10 and lake.files_for(spark, 401) == 11
+    lake.write_layer(made, str(tmp_path), lake.SILVER, "a")
+    stored = list((tmp_path / lake.SILVER.folder).rglob("*.parquet"))
+    assert 9 <= len(stored) <= 11
+    # and so do the tasks of the features
+    plan = plan_of(pipeline.enrich(rows.transactions(spark, [rows.txn("a")]), HotKeys(), tasks=11))
+    assert "hashpartitioning(user_id" in plan and ", 11), REPARTITION_BY_NUM" in plan
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 @pytest.fixture(scope="module")
@@ -141,8 +200,7 @@ def gold(spark, tmp_path_factory):
              process_date=dt.date(2026, 5, 1 + i % 4), risk_reasons=["NEW_DEVICE"])
         for i in range(200)
     ])
-    lake.write_layer(made, root, lake.ALERTS)
-    return lake.read(spark, root, lake.ALERTS), made
+    return lake.write_layer(made, root, lake.ALERTS, "run"), made
 
 
 def test_layer_round_trip(gold):
@@ -153,8 +211,7 @@ def test_layer_round_trip(gold):
 def test_layers_without_rows(spark, tmp_path):
     none = rows.enriched(spark, [])
     for layer in (lake.SILVER, lake.ALERTS):
-        lake.write_layer(none, str(tmp_path), layer)
-        assert lake.read(spark, str(tmp_path), layer).count() == 0
+        assert lake.write_layer(none, str(tmp_path), layer, "run").count() == 0
 
 
 def test_other_read_errors_are_raised(spark, tmp_path):
@@ -234,10 +291,10 @@ def test_command_line(spark, tmp_path, capsys):
     rows.write_cases_csv(tmp_path / "cases.csv")
     lake.write_layer(
         rows.transactions(spark, [rows.txn("tx_0", user="user_00002")]), str(tmp_path),
-        lake.BRONZE_TRANSACTIONS,
+        lake.BRONZE_TRANSACTIONS, "in",
     )
     main(["--users", str(tmp_path / "users.csv"), "--scenarios", str(tmp_path / "cases.csv"),
-          "--transactions", str(tmp_path / lake.BRONZE_TRANSACTIONS.folder),
+          "--transactions", lake.layer_path(str(tmp_path), lake.BRONZE_TRANSACTIONS, "in"),
           "--lake", str(tmp_path / "lake"), "--date", "2026-05-22"])
     assert "enriched_transactions" in capsys.readouterr().out
     assert LakeReads(spark, str(tmp_path / "lake")).top_alerts().count() == 1

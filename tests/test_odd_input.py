@@ -1,10 +1,14 @@
 """Values that CSV text and callers may hold."""
 
+import datetime as dt
+import math
+
 import pytest
+import rows
 from pyspark.sql import functions as F
 
 from txrisk.functions.columns import great_circle_km
-from txrisk.operators import serving
+from txrisk.operators import dashboard, profiles, serving
 
 NAN = float("nan")
 
@@ -20,3 +24,37 @@ def test_nan_coordinates_have_no_distance(spark):
 def test_only_plain_dates(spark, text):
     with pytest.raises(ValueError):
         serving._day(text)
+
+
+def test_odd_amounts_do_not_stop_totals(spark):
+    """1e25 and 1e40 count in full, NaN gives NaN, and other users are not touched."""
+    day = dt.datetime(2026, 5, 1)
+    made = rows.enriched(spark, [
+        dict(txn_id=f"t{i}", user_id=user, amount=amount, txn_ts=day, risk_score=60, risk_level="HIGH")
+        for i, (user, amount) in enumerate([
+            ("big", 1e25), ("bigger", 1e40), ("bigger", 1e40), ("nan", NAN), ("nan", 1.0),
+            ("plain", 0.1), ("plain", 0.2), ("none", None), ("inf", float("inf")),
+        ])
+    ])
+    got = {r.user_id: r.total_amount for r in profiles.all_profiles(made).collect()}
+    assert math.isnan(got.pop("nan"))
+    assert got == {"big": 1e25, "bigger": 2e40, "plain": 0.3, "none": 0.0, "inf": float("inf")}
+    assert profiles.user_profile(made, "big").first().total_amount == 1e25
+    kpis = dashboard.kpis(made.filter("user_id in ('big', 'plain')")).first()
+    assert kpis.total_amount == 1e25 and kpis.loaded_alerts == 3
+    assert math.isnan(dashboard.kpis(made).first().total_amount)
+    assert dashboard.kpis(made.limit(0)).first().total_amount == 0.0
+
+
+def test_pages_of_many_alerts(spark):
+    """A million alerts are numbered in many tasks, each from the ranges before it."""
+    alerts = spark.range(1_000_000).selectExpr(
+        "concat('t', id) as txn_id", "cast(id % 101 as int) as risk_score", "double(id % 997) as amount"
+    )
+    paged = dashboard.paged(alerts)
+    assert paged.select(F.spark_partition_id()).distinct().count() > 1
+    checked = paged.agg(F.min("position"), F.max("position"), F.count_distinct("position"), F.max("page"))
+    assert tuple(checked.first()) == (1, 1_000_000, 1_000_000, 100_000)
+    first = serving.rank_alerts(alerts).limit(25).select("txn_id").collect()
+    assert paged.filter("position <= 25").orderBy("position").select("txn_id").collect() == first
+    assert [r.position for r in dashboard.page(alerts, 7).collect()] == list(range(61, 71))

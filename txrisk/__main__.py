@@ -7,6 +7,7 @@ import datetime
 
 from pyspark.sql import SparkSession
 
+from txrisk.operators.skew import find_hot_keys
 from txrisk.operators.transactions import from_scenarios
 from txrisk.plans import pipeline
 from txrisk.schemas import TRANSACTIONS
@@ -30,7 +31,8 @@ def main(argv: list[str] | None = None) -> None:
     txns = read_layer(spark, args.transactions, TRANSACTIONS)
     scenarios = None
     if args.scenarios:
-        scenarios = from_scenarios(read_scenarios(spark, args.scenarios), users, date)
+        raw = read_scenarios(spark, args.scenarios)
+        scenarios = from_scenarios(raw, users, date, find_hot_keys(raw, "user_id"))
     pipeline.run(users, txns, args.lake, scenarios, date).show(truncate=False)
 
 

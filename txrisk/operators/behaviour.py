@@ -40,6 +40,9 @@ TIME_ORDER = ("txn_ts", "txn_id", "amount", "txn_country", "device", "attempts")
 # as their only order, and so share the sort of the row frames.
 TIMELINE = ", ".join(("epoch", *TIME_ORDER))
 
+# A number of the rows as they are stored, where there is one.
+ROW_NUMBER = "row_no"
+
 BEFORE = "rows between unbounded preceding and 1 preceding"
 
 # The context handed to the next transaction.
@@ -69,6 +72,7 @@ def add_features(
     magnitudes of the amounts. Without them they are looked up in ``txns``, which
     runs one job over the user column and one over the amounts. ``tasks`` is the
     number of tasks for the users that fit one; without it the session decides.
+    A column ``row_no``, a number of the stored rows, is carried along.
     """
     if hot is None:
         hot = find_hot_keys(txns, "user_id", rows_per_task)
@@ -194,8 +198,7 @@ def _sliced_users(
     )
     in_second = f"{in_slice} and epoch <=> at_epoch"
     return merged.join(_clock_figures(stored), F.expr(in_second)).select(
-        *TRANSACTIONS.names, "prev", "hist_avg_amount", "hist_std_amount", "txns_1h",
-        "countries_24h",
+        *txns.columns, "prev", "hist_avg_amount", "hist_std_amount", "txns_1h", "countries_24h"
     )
 
 
@@ -209,18 +212,19 @@ def _store_slices(txns: DataFrame, slices: int) -> DataFrame:
     splits it by the stored row number.
     """
     order = ("user_id", *TIME_ORDER)
-    stored = materialize(
-        txns.repartitionByRange(slices, *order).selectExpr(
-            "*", "spark_partition_id() as slice", "monotonically_increasing_id() as row_no"
-        ),
-        "sliced-users",
-    )
+    if ROW_NUMBER in txns.columns:
+        cut = txns.repartitionByRange(slices, *order, ROW_NUMBER)
+    else:
+        cut = txns.repartitionByRange(slices, *order).withColumn(
+            ROW_NUMBER, F.monotonically_increasing_id()
+        )
+    stored = materialize(cut.withColumn("slice", F.spark_partition_id()), "sliced-users")
     sizes = stored.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
     largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
     if total and largest > UNEVEN * -(-total // slices):
         stored = materialize(
             stored.drop("slice")
-            .repartitionByRange(slices, *order, "row_no")
+            .repartitionByRange(slices, *order, ROW_NUMBER)
             .selectExpr("*", "spark_partition_id() as slice"),
             "sliced-copies",
         )
@@ -304,6 +308,8 @@ def _derive(history: DataFrame) -> DataFrame:
         ),
     }
     names = TRANSACTIONS.names + FEATURES.names
+    if ROW_NUMBER in history.columns:
+        names = [*names, ROW_NUMBER]
     return travelled.selectExpr(
         *[f"{derived[name]} as {name}" if name in derived else name for name in names]
     )

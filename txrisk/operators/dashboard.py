@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.functions.columns import reason_label
+from txrisk.functions.columns import reason_label, total_of
 from txrisk.operators.serving import rank_alerts
+from txrisk.session import materialize
 
 PAGE_SIZE = 10
 SERIES_LENGTH = 10
@@ -15,9 +16,7 @@ SERIES_LENGTH = 10
 def kpis(loaded: DataFrame) -> DataFrame:
     """One row: amount, critical alerts, users affected, alerts loaded."""
     return loaded.agg(
-        F.coalesce(F.sum(F.col("amount").cast("decimal(28,6)")).cast("double"), F.lit(0.0)).alias(
-            "total_amount"
-        ),
+        F.coalesce(total_of(F.col("amount"), 6), F.lit(0.0)).alias("total_amount"),
         F.count_if(F.col("risk_level") == "CRITICAL").alias("critical_alerts"),
         F.count_distinct("user_id").alias("users_affected"),
         F.count(F.lit(1)).alias("loaded_alerts"),
@@ -34,14 +33,30 @@ def score_series(loaded: DataFrame) -> DataFrame:
 def paged(loaded: DataFrame) -> DataFrame:
     """Number the alerts by rank and by page of ten.
 
-    Ranks without a partition key, hence in one task: ``loaded`` must be a
-    limited list, which ``list_alerts`` holds to 500 rows.
+    Any number of alerts: they are cut into ranges of the rank order and stored,
+    and each range is numbered by itself, on from the rows of the ranges before
+    it. One row for each range is all that comes together.
     """
-    by_rank = Window.orderBy(
+    order = (
         F.desc_nulls_last("risk_score"), F.desc_nulls_last("amount"), F.asc_nulls_last("txn_id")
     )
-    return loaded.withColumn("position", F.row_number().over(by_rank)).withColumn(
-        "page", F.ceil(F.col("position") / PAGE_SIZE).cast("int")
+    ranges = loaded.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = materialize(
+        ranges.withColumns(
+            {"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}
+        ),
+        "ranked",
+    )
+    parts = stored.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = F.coalesce(
+        F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    starts = parts.select("part", (before - F.col("first") + 1).alias("start"))
+    numbered = stored.join(F.broadcast(starts), "part").withColumn(
+        "position", (F.col("place") + F.col("start")).cast("long")
+    )
+    return numbered.drop("part", "place", "start").withColumn(
+        "page", F.ceil(F.col("position") / PAGE_SIZE).cast("long")
     )
 
 

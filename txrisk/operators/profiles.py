@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txrisk.functions.columns import total_of
 from txrisk.operators.scoring import ALERT_LEVELS
 from txrisk.operators.serving import MAX_HISTORY, latest_per_user, user_history
 
@@ -14,15 +15,13 @@ def _is_alert() -> Column:
 
 
 def _figures() -> list[Column]:
-    # Summed as decimals: exact, and the same in whatever order rows arrive.
-    total = F.sum(F.coalesce(F.col("amount"), F.lit(0.0)).cast("decimal(28,6)"))
-    # At most MAX_HISTORY rows per user get here, so the list is short.
+    # At most MAX_HISTORY rows per user get here, so the lists are short.
     reasons = F.flatten(F.collect_list(F.when(_is_alert(), F.col("risk_reasons"))))
     return [
         F.count(F.lit(1)).alias("total_transactions"),
         F.count_if(_is_alert()).alias("total_alerts"),
         F.max(F.coalesce("risk_score", F.lit(0))).alias("max_risk_score"),
-        F.round(total, 2).cast("double").alias("total_amount"),
+        total_of(F.coalesce(F.col("amount"), F.lit(0.0))).alias("total_amount"),
         F.array_sort(F.array_distinct(reasons)).alias("top_reasons"),
     ]
 

@@ -82,21 +82,22 @@ def find_hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -
     return HotKeys(table, len(rows), sum(r.hot_rows for r in found))
 
 
-def join_spread(
-    facts: DataFrame, dim: DataFrame, key: str, spread: str, hot: HotKeys
-) -> DataFrame:
+def join_spread(facts: DataFrame, dim: DataFrame, key: str, hot: HotKeys) -> DataFrame:
     """Inner equi-join ``facts`` with ``dim`` where ``hot`` keys of ``facts`` are salted.
 
-    Rows of a hot key are dealt over its ``shares`` by a hash of the column
-    ``spread``; the matching ``dim`` rows are repeated once per share, which is
-    in total at most twice the fact rows over the task size. Other keys join as
-    they are, by broadcast or shuffle as the sizes tell.
+    Rows of a hot key are dealt over its ``shares`` by a hash of their number,
+    so even equal rows part; the matching ``dim`` rows are repeated once per
+    share, which is in total at most twice the fact rows over the task size.
+    Other keys join as they are, by broadcast or shuffle as the sizes tell.
+    ``facts`` should be a scan with projections and filters, whose rows get the
+    same numbers again if a task is repeated.
     """
     if not hot:
         return facts.join(dim, key)
     shares = F.broadcast(hot.table.select(F.col("hot_key").alias(key), "shares"))
-    dealt = facts.join(shares, key).withColumn(
-        "share", F.pmod(F.xxhash64(spread), F.col("shares"))
+    numbered = hot.only(facts.withColumn("share", F.monotonically_increasing_id()), key)
+    dealt = numbered.join(shares, key).withColumn(
+        "share", F.pmod(F.xxhash64("share"), F.col("shares"))
     )
     repeated = dim.join(shares, key).withColumn(
         "share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1))

@@ -44,5 +44,5 @@ def from_scenarios(
     hot: HotKeys = HotKeys(),
 ) -> DataFrame:
     """Scenario rows as transactions; those of unknown users drop out."""
-    joined = join_spread(scenarios, users.select(*USER_COLUMNS), "user_id", "txn_id", hot)
+    joined = join_spread(scenarios, users.select(*USER_COLUMNS), "user_id", hot)
     return canonical(joined, process_date)

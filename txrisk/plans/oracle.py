@@ -287,7 +287,7 @@ dirty_scored AS (
 )"""
 
 _METRICS = " UNION ALL ".join(
-    f"SELECT '{name}' AS metric, count(*) AS value FROM {source}"
+    f"SELECT '{name}' AS metric, count(*) AS value, CAST(NULL AS varchar) AS detail FROM {source}"
     for name, source in [
         ("users", "users"),
         ("transactions", "txn"),
@@ -297,6 +297,9 @@ _METRICS = " UNION ALL ".join(
         ("alerts_high", "alerts WHERE risk_level = 'HIGH'"),
         ("alerts_critical", "alerts WHERE risk_level = 'CRITICAL'"),
     ]
+) + (
+    " UNION ALL (SELECT 'largest_user' AS metric, count(*) AS value, user_id AS detail FROM txn "
+    "GROUP BY user_id ORDER BY value DESC, user_id LIMIT 1)"
 )
 
 _LABELS = ", ".join(f"('{code}', '{label}')" for code, label in REASON_LABELS.items())
@@ -392,6 +395,13 @@ def sql() -> dict[str, str]:
         "alerts_per_level": f"{_EVENT_SCORES} SELECT risk_level, count(*) AS alerts FROM alerts "
         "GROUP BY risk_level ORDER BY risk_level",
         "txn_by_id": _pick(_EVENT_SCORES, _ENRICHED_COLUMNS, "scored", "WHERE txn_id = 'tx_777'"),
+        "history_of_user": _pick(
+            _EVENT_SCORES,
+            ("user_id", "txn_id", "txn_ts", "amount", "risk_score", "risk_level"),
+            f"({_LATEST})",
+            "WHERE recency <= 20 AND user_id = 'user_10'",
+        ),
+        "profile_of_user": f"{_PROFILE} SELECT * FROM profile WHERE user_id = 'user_10'",
         "user_history_last20": _pick(
             _EVENT_SCORES,
             ("user_id", "recency", "txn_id", "txn_ts", "amount", "risk_score", "risk_level"),

@@ -8,19 +8,24 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txrisk.functions.exact import Span
 from txrisk.operators.behaviour import add_features
 from txrisk.operators.quality import quality_report, require_pass
-from txrisk.operators.scoring import ALERT_LEVELS, add_risk
+from txrisk.operators.scoring import ALERT_LEVELS, add_risk, only_alerts
 from txrisk.operators.skew import ROWS_PER_TASK, HotKeys
 from txrisk.plans import lake
-from txrisk.session import materialize
+from txrisk.session import released
 
 
 def enrich(
-    txns: DataFrame, hot: HotKeys | None = None, rows_per_task: int = ROWS_PER_TASK
+    txns: DataFrame,
+    hot: HotKeys | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
+    span: Span | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Features, score, reasons, level and decision of every transaction."""
-    return add_risk(add_features(txns, hot, rows_per_task))
+    return add_risk(add_features(txns, hot, rows_per_task, span, tasks))
 
 
 def with_scenarios(txns: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -33,7 +38,12 @@ def alerts_per_level(alerts: DataFrame) -> DataFrame:
 
 
 def metrics(users: DataFrame, txns: DataFrame, enriched: DataFrame) -> DataFrame:
-    """Row counts of the relations and of the alerts per level, one pass each."""
+    """Row counts of the relations and of the alerts per level, and the largest user.
+
+    ``metric``, ``value`` and ``detail``, which names the user. One pass over
+    each relation; transactions are counted per user in every task before the
+    shuffle.
+    """
     everything = F.count(F.lit(1))
     level = F.col("risk_level")
     counted = [
@@ -46,7 +56,15 @@ def metrics(users: DataFrame, txns: DataFrame, enriched: DataFrame) -> DataFrame
         ),
     ]
     rows = [row.unpivot([], row.columns, "metric", "value") for row in counted]
-    return reduce(DataFrame.unionByName, rows)
+    plain = reduce(DataFrame.unionByName, rows).withColumn("detail", F.lit(None).cast("string"))
+    largest = (
+        txns.groupBy("user_id")
+        .agg(everything.alias("value"))
+        .orderBy(F.desc("value"), F.asc_nulls_last("user_id"))
+        .limit(1)
+        .select(F.lit("largest_user").alias("metric"), "value", F.col("user_id").alias("detail"))
+    )
+    return plain.unionByName(largest)
 
 
 def run(
@@ -57,20 +75,33 @@ def run(
     process_date: datetime.date | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Score the transactions and publish the lake below ``root``.
+    """Score the transactions and publish the lake below ``root``; returns the metrics.
 
-    Raises ``QualityError`` before anything below ``root`` is touched if a
-    check fails. Returns the metrics. The inputs and the scored rows are stored
-    in the shared folder first: the checks, the five layers and the metrics
-    then read stored columns instead of repeating joins and windows, and all
-    see the same rows.
+    Every layer is written once. The inputs go to bronze first, features and
+    score are taken from there, and checks, alerts and metrics from the layers
+    before them. The number of tasks and files follows the stored rows. Raises
+    ``QualityError`` before the run is published if a check fails; what the run
+    wrote is deleted then, as is everything else it stored on the way.
     """
+    spark, run_id = users.sparkSession, lake.new_run()
     if scenarios is not None:
         txns = with_scenarios(txns, scenarios)
-    users = materialize(users, "users")
-    txns = materialize(txns, "transactions")
-    enriched = materialize(enrich(txns, rows_per_task=rows_per_task), "enriched")
-    report = materialize(quality_report(users, txns, enriched, process_date), "quality")
-    require_pass(report)
-    lake.write_lake(root, users, txns, enriched, report)
+    try:
+        with released(spark):
+            users = lake.write_layer(users, root, lake.BRONZE_USERS, run_id)
+            txns = lake.write_layer(txns, root, lake.BRONZE_TRANSACTIONS, run_id)
+            tasks = lake.files_for(spark, txns.count())
+            # numbers of stored rows: the same again if a task is repeated
+            numbered = txns.withColumn("row_no", F.monotonically_increasing_id())
+            scored = enrich(numbered, rows_per_task=rows_per_task, tasks=tasks)
+            enriched = lake.write_layer(scored, root, lake.SILVER, run_id, tasks)
+            report = lake.write_layer(
+                quality_report(users, txns, enriched, process_date), root, lake.DATA_QUALITY, run_id
+            )
+            require_pass(report)
+            lake.write_layer(only_alerts(enriched), root, lake.ALERTS, run_id)
+            lake.publish(spark, root, run_id)
+    except BaseException:
+        lake.discard(spark, root, run_id)
+        raise
     return metrics(users, txns, enriched)

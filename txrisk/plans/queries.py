@@ -7,6 +7,7 @@ across engines.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,9 @@ from txrisk.operators.behaviour import add_features
 from txrisk.operators.skew import join_spread
 from txrisk.operators.transactions import USER_COLUMNS, from_scenarios, join_countries
 from txrisk.plans import lake, pipeline
+from txrisk.plans.reads import LakeReads
 from txrisk.schemas import QUALITY
-from txrisk.session import apply_sql_settings, materialize, scratch_path
+from txrisk.session import apply_sql_settings, materialize, released, scratch_path
 from txrisk.sources import shop
 from txrisk.sources.files import COUNTRIES, countries, read_scenarios, read_users
 
@@ -47,7 +49,7 @@ def registry() -> dict[str, Query]:
 
 def _features(spark, sf_dir):
     data = shop.load(spark, sf_dir)
-    return add_features(data.transactions, data.hot)
+    return add_features(data.transactions, data.hot, span=data.span)
 
 
 def _enriched(spark, sf_dir):
@@ -67,6 +69,25 @@ def _scenario_txns(spark, sf_dir):
     return from_scenarios(rows, data.users, hot=data.hot), data
 
 
+# Roots of the lakes published by this process, by application and data folder.
+_LAKES: dict[tuple[str, str], str] = {}
+
+
+def _publish(spark, sf_dir) -> tuple[str, DataFrame]:
+    """Run the whole job into a new lake; its root and the metrics."""
+    data, root = shop.load(spark, sf_dir), scratch_path(spark, "lake")
+    day = datetime.date.fromisoformat(REPORT_DATE)
+    return root, pipeline.run(data.users, data.transactions, root, process_date=day)
+
+
+def _lake(spark, sf_dir) -> LakeReads:
+    """Reads over the published lake of a data folder; the first of them publishes it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LAKES:
+        _LAKES[key] = _publish(spark, sf_dir)[0]
+    return LakeReads(spark, _LAKES[key])
+
+
 # Columns shown as text: timestamps, dates and reason lists.
 _STAMPS = ("txn_ts", "prev_txn_ts")
 _DAYS = ("process_date", "created_on")
@@ -134,7 +155,7 @@ def txn_canonical(spark, sf_dir):
 def txn_join_users(spark, sf_dir):
     data = shop.load(spark, sf_dir)
     people = data.users.select(*USER_COLUMNS)
-    joined = join_spread(shop.payments(spark, sf_dir), people, "user_id", "txn_id", data.hot)
+    joined = join_spread(shop.payments(spark, sf_dir), people, "user_id", data.hot)
     return joined.select("txn_id", "amount", *USER_COLUMNS)
 
 
@@ -270,7 +291,7 @@ def scenarios_scored(spark, sf_dir):
     """All orders as scenario rows, scored on their own."""
     txns, data = _scenario_txns(spark, sf_dir)
     return show(
-        pipeline.enrich(txns, data.hot),
+        pipeline.enrich(txns, data.hot, span=data.span),
         *_ALERT_COLUMNS, "txns_1h", "countries_24h", "mins_since_prev", "km_since_prev",
         "kmh_since_prev", "is_abnormal_freq",
     )
@@ -281,7 +302,7 @@ def txn_union_scenarios(spark, sf_dir):
     """Event transactions and order scenarios together, scored as one history."""
     txns, data = _scenario_txns(spark, sf_dir)
     both = pipeline.with_scenarios(data.transactions, txns)
-    return show(pipeline.enrich(both, data.hot), *_ALERT_COLUMNS, "prev_country", "prev_txn_ts")
+    return show(pipeline.enrich(both, data.hot, span=data.span), *_ALERT_COLUMNS, "prev_country", "prev_txn_ts")
 
 
 # -- alert lists -----------------------------------------------------------
@@ -289,7 +310,7 @@ def txn_union_scenarios(spark, sf_dir):
 
 @query
 def alerts_all(spark, sf_dir):
-    return show(serving.filter_alerts(_alerts(spark, sf_dir)), *_ALERT_COLUMNS)
+    return show(_lake(spark, sf_dir).matching_alerts(), *_ALERT_COLUMNS)
 
 
 @query
@@ -306,8 +327,7 @@ def alerts_top50(spark, sf_dir):
 
 def _filter_query(name: str, **conditions) -> None:
     def fn(spark, sf_dir):
-        chosen = serving.filter_alerts(_alerts(spark, sf_dir), **conditions)
-        return show(chosen, *_ALERT_COLUMNS)
+        return show(_lake(spark, sf_dir).matching_alerts(**conditions), *_ALERT_COLUMNS)
 
     fn.__name__ = name
     query(fn)
@@ -350,7 +370,18 @@ def alerts_per_level(spark, sf_dir):
 
 @query
 def txn_by_id(spark, sf_dir):
-    return show(serving.transaction_by_id(_enriched(spark, sf_dir), "tx_777"))
+    return show(_lake(spark, sf_dir).transaction("tx_777"))
+
+
+@query
+def history_of_user(spark, sf_dir):
+    return show(_lake(spark, sf_dir).history("user_10"), "user_id", "txn_id", "txn_ts", "amount",
+                "risk_score", "risk_level")
+
+
+@query
+def profile_of_user(spark, sf_dir):
+    return show(_lake(spark, sf_dir).risk_profile("user_10"))
 
 
 @query
@@ -386,14 +417,14 @@ def dashboard_kpis(spark, sf_dir):
 
 @query
 def top10_score_series(spark, sf_dir):
-    return show(dashboard.score_series(_loaded(spark, sf_dir)))
+    return show(_lake(spark, sf_dir).score_series())
 
 
 @query
 def alerts_page(spark, sf_dir):
     """All five pages of the loaded alerts."""
-    return show(dashboard.paged(_loaded(spark, sf_dir)), "page", "position", "txn_id",
-                "risk_score", "amount")
+    return show(dashboard.paged(_lake(spark, sf_dir).top_alerts()), "page", "position",
+                "txn_id", "risk_score", "amount")
 
 
 @query
@@ -417,16 +448,15 @@ def _report(users, txns, enriched):
 
 @query
 def dq_report(spark, sf_dir):
-    data = shop.load(spark, sf_dir)
-    report = _report(data.users, data.transactions, pipeline.enrich(data.transactions, data.hot))
-    return show(report, *QUALITY.names)
+    """The checks over the stored users, transactions and scores."""
+    reads = _lake(spark, sf_dir)
+    return show(_report(reads.users(), reads.transactions(), reads.enriched()), *QUALITY.names)
 
 
 @query
 def dq_report_sorted(spark, sf_dir):
-    data = shop.load(spark, sf_dir)
-    report = _report(data.users, data.transactions, pipeline.enrich(data.transactions, data.hot))
-    return show(serving.list_quality(report), *QUALITY.names)
+    """The report that the job published."""
+    return show(_lake(spark, sf_dir).quality(), *QUALITY.names)
 
 
 @query
@@ -451,7 +481,7 @@ def dq_report_dirty(spark, sf_dir):
             "txn_country": F.expr(f"if({number} % 29 = 0, null, txn_country)"),
         }
     )
-    enriched = pipeline.enrich(data.transactions, data.hot).withColumns(
+    enriched = pipeline.enrich(data.transactions, data.hot, span=data.span).withColumns(
         {
             "risk_score": F.expr(
                 f"case when {number} % 31 = 0 then null when {number} % 37 = 0 then 101 "
@@ -466,19 +496,20 @@ def dq_report_dirty(spark, sf_dir):
 
 @query
 def job_metrics(spark, sf_dir):
-    data = shop.load(spark, sf_dir)
-    return pipeline.metrics(
-        data.users, data.transactions, pipeline.enrich(data.transactions, data.hot)
-    )
+    """The whole job, from the raw tables to a published lake, and its metrics."""
+    return _publish(spark, sf_dir)[1]
 
 
 # -- lake ------------------------------------------------------------------
 
 
 def _round_trip(spark, rows: DataFrame, layer: lake.Layer) -> DataFrame:
-    root = scratch_path(spark, "lake")
-    # As in the batch job, a layer is laid out from stored rows.
-    lake.write_layer(materialize(rows, "rows"), root, layer)
+    """Write one layer as a run, publish it and read it as a reader does."""
+    root, run = scratch_path(spark, "lake"), lake.new_run()
+    with released(spark):
+        # A layer is laid out from stored rows.
+        lake.write_layer(materialize(rows, "rows"), root, layer, run)
+    lake.publish(spark, root, run)
     return lake.read(spark, root, layer)
 
 
@@ -507,5 +538,5 @@ def lake_roundtrip_gold(spark, sf_dir):
 def lake_roundtrip_quality(spark, sf_dir):
     data = shop.load(spark, sf_dir)
     txns = materialize(data.transactions, "transactions")
-    report = _report(data.users, txns, pipeline.enrich(txns, data.hot))
+    report = _report(data.users, txns, pipeline.enrich(txns, data.hot, span=data.span))
     return show(_round_trip(spark, report, lake.DATA_QUALITY))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,11 +13,32 @@ from txrisk.plans import lake
 
 @dataclass(frozen=True)
 class LakeReads:
+    """Reads of one published run: the one found when the first of them is made."""
+
     spark: SparkSession
     root: str
 
+    @cached_property
+    def run(self) -> str | None:
+        return lake.current_run(self.spark, self.root)
+
     def _layer(self, layer: lake.Layer) -> DataFrame:
-        return lake.read(self.spark, self.root, layer)
+        if self.run is None:
+            return self.spark.createDataFrame([], layer.schema)
+        return lake.read(self.spark, self.root, layer, self.run)
+
+    def users(self) -> DataFrame:
+        return self._layer(lake.BRONZE_USERS)
+
+    def transactions(self) -> DataFrame:
+        return self._layer(lake.BRONZE_TRANSACTIONS)
+
+    def enriched(self) -> DataFrame:
+        return self._layer(lake.SILVER)
+
+    def matching_alerts(self, **conditions) -> DataFrame:
+        """All alerts under the conditions, in no order."""
+        return serving.filter_alerts(self._layer(lake.ALERTS), **conditions)
 
     def alerts(self, *, limit: int = 50, **conditions) -> DataFrame:
         """Ranked alerts; see ``serving.filter_alerts`` for the conditions."""

@@ -36,7 +36,7 @@ def countries(spark: SparkSession) -> DataFrame:
 
 
 def _no_rows_if_missing(
-    spark: SparkSession, schema: StructType, read: Callable[[], DataFrame]
+    spark: SparkSession, schema: StructType | str, read: Callable[[], DataFrame]
 ) -> DataFrame:
     try:
         return read()
@@ -70,3 +70,9 @@ def read_layer(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """
     parquet = spark.read.schema(schema)
     return _no_rows_if_missing(spark, schema, lambda: parquet.parquet(path)).select(*schema.names)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with a declared schema; no rows if there is no such folder."""
+    json = spark.read.schema(schema)
+    return _no_rows_if_missing(spark, schema, lambda: json.json(path))

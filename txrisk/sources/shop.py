@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txrisk.functions.exact import Span, span_of_all
 from txrisk.operators.skew import ROWS_PER_TASK, HotKeys, find_hot_keys, join_spread
 from txrisk.operators.transactions import USER_COLUMNS, canonical, join_countries
 from txrisk.schemas import SCENARIOS_CSV
@@ -126,7 +127,6 @@ def transactions(spark: SparkSession, sf_dir: str, hot: HotKeys = HotKeys()) ->
         payments(spark, sf_dir),
         users(spark, sf_dir).select(*USER_COLUMNS),
         "user_id",
-        "txn_id",
         hot,
     )
     return canonical(join_countries(place_payments(joined), countries(spark)))
@@ -154,8 +154,13 @@ class Shop:
     users: DataFrame
     transactions: DataFrame
     hot: HotKeys
+    span: Span
 
 
 def load(spark: SparkSession, sf_dir: str, rows_per_task: int = ROWS_PER_TASK) -> Shop:
+    """The relations, with what is known of their keys and amounts from the raw tables."""
     hot = hot_users(spark, sf_dir, rows_per_task)
-    return Shop(users(spark, sf_dir), transactions(spark, sf_dir, hot), hot)
+    span = span_of_all(
+        (table(spark, sf_dir, "events"), "value"), (table(spark, sf_dir, "orders"), "o_totalprice")
+    )
+    return Shop(users(spark, sf_dir), transactions(spark, sf_dir, hot), hot, span)
