@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -22,6 +23,7 @@ from txrisk.llm import (
     tree_weighting,
     warc,
 )
+from txrisk.session import materialize
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, chunk string, h int, row string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -134,19 +136,22 @@ def test_neighbours_exact_where_small(spark):
     assert neighbours.search(df.limit(0), "vec_id % 100 = 0").count() == 0
 
 
-def test_neighbours_recall():
-    """Routing by the classifier keeps nine tenths of the true neighbours."""
-    import pyarrow.parquet as pq
-
-    table = pq.read_table("/root/testdata/check_s/embeddings.parquet")
-    x = neighbours._matrix(table.column("embedding")).astype(float)
-    x = x[(x != 0).any(axis=1) & np.isfinite(x).all(axis=1)]
-    model, parts, visits = neighbours.fit(x[:: max(1, len(x) // 8000)][:8000], len(x))
-    order = np.argsort(-model.logits(x), axis=1)
-    asked = np.arange(0, len(x), 100)
-    near = neighbours.nearest_in(x, 10)[asked]
-    hit = [(order[n, 0][:, None] == order[q, :visits]).any(axis=1).mean() for q, n in zip(asked, near, strict=True)]
-    assert parts > 5 and visits <= parts and np.mean(hit) >= 0.9
+def test_neighbours_recall(spark):
+    """A search of 20,000 clustered vectors finds nine tenths of the true neighbours."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(200, 32))
+    x = (centres[rng.integers(0, 200, 20_000)] + 0.5 * rng.normal(size=(20_000, 32))).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    got = neighbours.search(df, "vec_id % 100 = 0").collect()
+    wide, found = x.astype(float), {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), 100):
+        d = ((wide - wide[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(found[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert len(found) == 200 and hits >= 0.9 * 2_000
 
 
 @pytest.mark.parametrize("which", [0, 1])
@@ -242,11 +247,27 @@ def test_suffixes(spark, which, length):
                 gone[at : at + length] = True
         kept = bytes(b for b, g in zip(t, gone, strict=False) if not g)
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        want.append((i, len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+        want.append((i, len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
     got = [tuple(r) for r in suffixes.remove_repeats(docs, length=length).collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
     cut = suffixes.without_repeats(docs, length=length)
     assert cut.columns == docs.columns and cut.count() == len(texts)
+    assert sorted((r.doc_id, r.text or "") for r in cut.filter("doc_id is not null").collect()) == sorted(
+        (w[0], w[5]) for w in want if w[0] is not None
+    )
+
+
+def test_passages_of_few_words_stay(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))
+    long, short = words(60), words(40)
+    own = [words(30) for _ in range(6)]
+    texts = [f"{own[0]} {long} {own[1]}", f"{own[2]}\n{long}\n{own[3]}", f"{own[4]} {short}. {own[4]}", f"{own[5]}; {short} {own[5]}", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.text for r in suffixes.without_repeats(docs, length=240, least_words=50).collect()}
+    assert got == {0: f"{own[0]}  {own[1]}", 1: f"{own[2]}\n\n{own[3]}", 2: texts[2], 3: texts[3], 4: None, 5: ""}
+    everything = {r.doc_id: r.text for r in suffixes.without_repeats(docs, length=240).collect()}
+    assert short not in everything[2] and short not in everything[3]
 
 
 def test_two_stage_order_is_lexicographic():
@@ -398,7 +419,7 @@ def test_pipeline_stages(spark):
     docs = edge_docs(spark).unionByName(real_docs(spark), allowMissingColumns=True)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         columns = docs.columns
-        docs = stage(spark, docs, SF).cache()
+        docs = materialize(stage(spark, docs, SF), "stage")
         assert docs.columns == columns and docs.count() > 0, name
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == docs.count()

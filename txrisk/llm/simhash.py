@@ -220,5 +220,6 @@ def first_of_each(
     number = "_row_number_"
     numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     groups = near_duplicates(numbered, number, text, shingle, max_bits)
-    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(number))
-    return numbered.join(first, number, "left_semi").drop(number)
+    # texts move for this join only if the rows that go are too many to be sent to them
+    others = materialize(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(number)), "others")
+    return numbered.join(others, number, "left_anti").drop(number)

@@ -238,23 +238,34 @@ def _sorted_batches(length: int):
     return run
 
 
-def _cut_out(text: bytes, runs: list[dict], length: int) -> tuple[bytes, int]:
-    """What is left without the strings that begin in ``runs``, and the number of gaps."""
-    kept, at, gaps = [], 0, 0
-    stop = -1
+def spans_of(runs: list[dict], length: int) -> list[tuple[int, int]]:
+    """The maximal spans covered by the strings that begin in ``runs``."""
+    spans: list[tuple[int, int]] = []
     for r in sorted(runs, key=lambda r: r["at"]):
         lo, hi = r["at"], r["at"] + r["n"] - 1 + length
-        if lo > stop:
-            kept.append(text[at:lo])
-            gaps += 1
-        stop = max(stop, hi)
-        at = stop
+        if spans and lo <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(spans[-1][1], hi))
+        else:
+            spans.append((lo, hi))
+    return spans
+
+
+def cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """What is left of ``text`` without ``spans``."""
+    kept, at = [], 0
+    for lo, hi in spans:
+        kept.append(text[at:lo])
+        at = hi
     kept.append(text[at:])
-    return b"".join(kept), gaps
+    return b"".join(kept)
 
 
 def repeats_by_text(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """For every distinct text that loses bytes: ``key`` (its SHA-256), ``kept`` bytes, ``n_spans``."""
+    """For every distinct text with repeated strings: ``key`` (its SHA-256) and the ``runs`` of their starts.
+
+    Stored. Texts move only to give the bytes of bands that share a core with
+    different ones, and only those that have such bands, once for all copies.
+    """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
     texts = docs.select(text_or_empty(text).alias("text")).select(F.sha2("text", 256).alias("key"), "text")
@@ -292,10 +303,11 @@ def repeats_by_text(docs: DataFrame, text: str = "text", length: int = LENGTH) -
     wanted = mixed.groupBy(F.col("one.row").alias("row")).agg(
         F.collect_list(F.struct("core", "whole", "one.at", "one.n")).alias("wanted")
     )
-    touched = repeated.select("row").distinct().join(wanted, "row", "left").join(keys, "row")
-    touched = touched.groupBy("key").agg(F.flatten(F.collect_set("wanted")).alias("wanted"))
-    once = texts.groupBy("key").agg(F.first("text").alias("text"))
-    touched = materialize(once.join(touched, "key"), "touched")
+    wanted = materialize(
+        wanted.join(keys, "row").groupBy("key").agg(F.flatten(F.collect_set("wanted")).alias("wanted")),
+        "wanted",
+    )
+    touched = texts.join(wanted, "key").dropDuplicates(["key"])
 
     def cut_out_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,7 +322,7 @@ def repeats_by_text(docs: DataFrame, text: str = "text", length: int = LENGTH) -
                 ["core", "whole", "bytes", "n"],
             )
 
-    pieces = touched.filter("size(wanted) > 0").select("text", "wanted").mapInArrow(
+    pieces = touched.select("text", "wanted").mapInArrow(
         cut_out_bands, "core bigint, whole bigint, bytes binary, n int"
     )
     found = (
@@ -331,60 +343,74 @@ def repeats_by_text(docs: DataFrame, text: str = "text", length: int = LENGTH) -
     runs = of_alike.select("row", moved.alias("runs")).unionByName(of_mixed.select("row", moved.alias("runs")))
     runs = runs.filter("size(runs) > 0").groupBy("row").agg(F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"))
     by_key = runs.join(keys, "row").groupBy("key").agg(F.first("runs").alias("runs"))
+    return materialize(by_key, "runs")
 
-    def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [
-                _cut_out(t.as_py().encode("utf-8", "surrogatepass"), r, length)
-                for t, r in zip(batch.column("text"), batch.column("runs").to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array([k[0] for k in kept], pa.binary()), pa.array([k[1] for k in kept], pa.int64())],
-                ["key", "kept", "n_spans"],
-            )
 
-    cut = touched.select("key", "text").join(by_key, "key").select("key", "text", "runs")
-    return cut.mapInArrow(cut_texts, "key string, kept binary, n_spans bigint")
+def _without(docs: DataFrame, text: str, length: int, runs: DataFrame, columns: str, cut) -> DataFrame:
+    """``docs`` with its texts and their ``runs``, handed in batches to ``cut``.
+
+    Texts move for this join only if the runs are too many to be sent to them.
+    """
+    key, found = "_text_key_", "_text_runs_"
+    keyed = docs.withColumn(key, F.sha2(text_or_empty(text), 256))
+    joined = keyed.join(runs.select(F.col("key").alias(key), F.col("runs").alias(found)), key, "left")
+    return joined.select(*docs.columns, key, found).mapInArrow(lambda batches: map(cut, batches), columns)
 
 
 def remove_repeats(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH
 ) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; a row for each row."""
-    lost = repeats_by_text(docs, text, length).select(
-        "key", F.octet_length("kept").alias("n_kept"), "n_spans", F.sha2("kept", 256).alias("kept_sha256")
-    )
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.octet_length(text_or_empty(text)).cast("long").alias("n_bytes"),
-        F.sha2(text_or_empty(text), 256).alias("key"),
-    )
-    return rows.join(lost, "key", "left").select(
-        "doc_id",
-        "n_bytes",
-        F.coalesce(F.col("n_bytes") - F.col("n_kept"), F.lit(0)).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("kept_sha256", "key").alias("kept_sha256"),
-    )
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``text``; a row for each row.
 
+    ``text`` is what is left, without the rest of a character that a cut goes
+    through; the digest is of all bytes left.
+    """
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for t, digest, runs in zip(
+            batch.column("text"), batch.column("_text_key_").to_pylist(), batch.column("_text_runs_").to_pylist(), strict=True
+        ):
+            raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
+            spans = spans_of(runs or [], length)
+            left = cut_out(raw, spans) if spans else raw
+            digest = hashlib.sha256(left).hexdigest() if spans else digest
+            out.append((len(raw), len(raw) - len(left), len(spans), digest, left.decode("utf-8", "ignore")))
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"],
+        )
 
-def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with repeated passages cut out of ``text``, columns as they are.
+    id_type = source.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string"
+    return _without(source, "text", length, repeats_by_text(source, "text", length), schema, cut)
 
-    Where a cut goes through a character, the rest of the character goes too. A
-    text that loses nothing stays as it is, null included.
-    """
-    key, left = "_text_key_", "_text_left_"
-    lost = repeats_by_text(docs, text, length).select(
-        F.col("key").alias(key), F.col("kept").alias(left), F.lit(True).alias("_cut_")
-    )
 
-    def to_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b.as_py().decode("utf-8", "ignore") for b in batch.column(left)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(texts, pa.string())], [key, left])
+def without_repeats(
+    docs: DataFrame, text: str = "text", length: int = LENGTH, least_words: int = 0
+) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text``, columns as they are.
 
-    lost = lost.select(key, left).mapInArrow(to_text, f"{key} string, {left} string")
-    keyed = docs.withColumn(key, F.sha2(text_or_empty(text), 256))
-    joined = keyed.join(lost, key, "left").withColumn(text, F.coalesce(left, text))
-    return joined.select(*docs.columns)
+    A passage is a maximal span covered by repeated strings; one of fewer than
+    ``least_words`` words stays. Where a cut goes through a character, the rest
+    of the character goes too. A text that loses nothing stays as it is, null
+    included.
+    """
+    names = docs.columns
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = []
+        for t, runs in zip(batch.column(text), batch.column("_text_runs_").to_pylist(), strict=True):
+            value = t.as_py()
+            if runs:
+                raw = value.encode("utf-8", "surrogatepass")
+                spans = [(a, b) for a, b in spans_of(runs, length) if len(raw[a:b].split()) >= least_words]
+                value = cut_out(raw, spans).decode("utf-8", "ignore") if spans else value
+            texts.append(value)
+        kept = [pa.array(texts, pa.string()) if n == text else batch.column(n) for n in names]
+        return pa.RecordBatch.from_arrays(kept, names)
+
+    return _without(docs, text, length, repeats_by_text(docs, text, length), docs.schema, cut)
