@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -81,24 +82,42 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-# The folders made by each open :func:`released`, the innermost last.
+# The folders made in each open :func:`recorded`, the innermost last.
 _scopes: list[list[str]] = []
 
 
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The list of the folders that :func:`materialize` makes within."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes[:] = [scope for scope in _scopes if scope is not made]
+
+
+def free(spark: SparkSession, folders: list[str]) -> None:
+    """Delete stored tables that nothing reads any more, and shuffle files nothing refers to."""
+    for path in folders:
+        remove(spark, path)
+    folders.clear()
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
     """Delete at the end what :func:`materialize` stored within.
 
     What is read from there must have been written elsewhere by then.
     """
-    made: list[str] = []
-    _scopes.append(made)
-    try:
-        yield
-    finally:
-        _scopes.remove(made)
-        for path in made:
-            remove(spark, path)
+    with recorded() as made:
+        try:
+            yield
+        finally:
+            for path in made:
+                remove(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
