@@ -50,4 +50,14 @@ def test_entry(spark):
     assert {"txn_id", "user_id", "risk_score", "risk_level", "risk_reasons", "decision"} <= set(
         ranked.columns
     )
-    assert ranked.count() == 202
+    assert ranked.count() == 139
+
+
+def test_all_rules_and_levels_occur(spark):
+    flags = QUERIES["risk_flags"](spark, SF_DIR)
+    fired = flags.selectExpr(*[f"count_if({c}) as {c}" for c in flags.columns if c != "txn_id"]).first()
+    assert len(fired) == 7 and min(fired) > 0
+    levels = QUERIES["risk_level_decision"](spark, SF_DIR).select("risk_level", "decision").distinct()
+    assert {tuple(r) for r in levels.collect()} == {
+        ("LOW", "APPROVE"), ("MEDIUM", "REVIEW"), ("HIGH", "REVIEW"), ("CRITICAL", "BLOCK")
+    }

@@ -74,16 +74,16 @@ users AS (
 _TXN = f"""{_USERS},
 placed AS (
   SELECT e.event_id, 'tx_' || e.event_id AS txn_id, u.*, e.value AS amount, e.ts AS txn_ts,
-         CASE WHEN (e.event_id * 7919) % 100
-                   < CASE WHEN u.profile = 'VIAJANTE' THEN 55 ELSE 86 END
-              THEN u.home_country
-              ELSE ([{_CODES}])[CAST((e.event_id * 31 + 7) % 10 + 1 AS int)] END AS txn_country,
-         CASE WHEN (e.event_id * 613) % 100 < 87 THEN u.primary_device
+         CASE WHEN e.event_type = 'error' AND (u.profile = 'VIAJANTE' OR k < 30)
+                OR e.event_type = 'signup' AND u.profile = 'VIAJANTE'
+              THEN ([{_CODES}])[k % 10 + 1] ELSE u.home_country END AS txn_country,
+         CASE WHEN e.event_type <> 'error' OR k < 50 THEN u.primary_device
               WHEN u.primary_device = 'mobile' THEN 'web' ELSE 'mobile' END AS device,
-         CASE WHEN (e.event_id * 271) % 100 < 91 THEN 1
-              WHEN (e.event_id * 271) % 100 < 98 THEN 2
-              ELSE 3 + e.event_id % 5 END AS attempts
-  FROM events e JOIN users u ON u.user_id = 'user_' || e.user_id
+         CASE e.event_type WHEN 'error' THEN 1 + k % 5 WHEN 'signup' THEN 1 + k % 2 ELSE 1 END
+           AS attempts
+  FROM (SELECT *, coalesce(TRY_CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS int), 0) AS k
+        FROM events) e
+  JOIN users u ON u.user_id = 'user_' || e.user_id
 ),
 txn AS (
   SELECT txn_id, user_id, profile, home_country, home_city, txn_country, g.city AS txn_city,

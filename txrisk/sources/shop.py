@@ -1,8 +1,9 @@
 """Users and transactions derived from the shop tables.
 
 customer, nation and events become users and their payment-like transactions;
-orders become scenario rows. Every rule is integer arithmetic on the keys, so a
-run can be repeated exactly and checked against plain SQL.
+orders become scenario rows. What the tables lack follows from what they hold:
+the kind of event, the number in its properties, the user's profile and nation.
+Every rule is exact, so a run can be repeated and checked against plain SQL.
 """
 
 from __future__ import annotations
@@ -105,20 +106,30 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value as amount",
         "cast(ts as timestamp) as txn_ts",
         "cast(ts as date) as process_date",
-        "event_id",
+        "event_type",
+        # the number that events carry in their properties; 0 if there is none
+        "coalesce(try_cast(regexp_extract(props, '\"k\": *([0-9]+)', 1) as int), 0) as k",
     )
 
 
 def place_payments(payments_of_users: DataFrame) -> DataFrame:
-    """Country, device and attempts of each payment, spread evenly by event number."""
+    """Country, device and attempts of each payment, by kind of event and profile.
+
+    Travellers sign up and fail abroad, others fail abroad now and then; a
+    failure was tried up to five times, half of them on the other device.
+    """
+    abroad = country_at(f"k % {len(COUNTRIES)}")
     return payments_of_users.selectExpr(
         "*",
-        f"if((event_id * 7919) % 100 < if(profile = '{TRAVELLER}', 55, 86), home_country, "
-        f"{country_at(f'(event_id * 31 + 7) % {len(COUNTRIES)}')}) as txn_country",
-        "if((event_id * 613) % 100 < 87, primary_device, "
-        "if(primary_device = 'mobile', 'web', 'mobile')) as device",
-        "cast(case when (event_id * 271) % 100 < 91 then 1 "
-        "when (event_id * 271) % 100 < 98 then 2 else 3 + event_id % 5 end as int) as attempts",
+        f"case when profile = '{TRAVELLER}' then "
+        f"case when event_type in ('error', 'signup') then {abroad} else home_country end "
+        f"else case when event_type = 'error' and k < 30 then {abroad} else home_country end "
+        "end as txn_country",
+        "case when event_type = 'error' and k >= 50 then "
+        "case when primary_device = 'mobile' then 'web' else 'mobile' end "
+        "else primary_device end as device",
+        "case when event_type = 'error' then 1 + k % 5 when event_type = 'signup' then 1 + k % 2 "
+        "else 1 end as attempts",
     )
 
 
