@@ -1,6 +1,8 @@
 """The training-data operators against brute force, on edge rows and small tables."""
 
+import functools
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -154,6 +156,74 @@ def test_neighbours_recall(spark):
     assert len(found) == 200 and hits >= 0.9 * 2_000
 
 
+def naive_trees(rows):
+    """Scores by context trees as dictionaries: byte strings of 0 to 3 bytes to counts by decision."""
+    counts, longer = {}, {}
+    for text, held in rows:
+        padded = bytes(3) + text
+        for at in range(len(text)):
+            byte = padded[at + 3]
+            for k in range(8):
+                node, bit = (1 << k) | (byte >> (8 - k)), byte >> (7 - k) & 1
+                for depth in range(4):
+                    context = padded[at + 3 - depth : at + 3]
+                    counts.setdefault((context, node), [0, 0])[bit] += not held
+                    if depth < 3:
+                        longer.setdefault((context, node), set()).add(padded[at + 2 - depth : at + 3])
+
+    def kt(zeros, ones):
+        return math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(zeros + ones + 1) - math.log(math.pi)
+
+    def add(a, b):
+        return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+    @functools.cache
+    def weighted(context, node):
+        own = kt(*counts[context, node])
+        if len(context) == 3:
+            return own
+        return add(own, sum(weighted(c, node) for c in longer[context, node])) - math.log(2)
+
+    scores = []
+    for text, _ in rows:
+        padded, total = bytes(3) + text, 0.0
+        for at in range(len(text)):
+            byte = padded[at + 3]
+            for k in range(8):
+                node, bit = (1 << k) | (byte >> (8 - k)), byte >> (7 - k) & 1
+                p = None
+                for depth in range(3, -1, -1):
+                    context = padded[at + 3 - depth : at + 3]
+                    figures = counts[context, node]
+                    estimate = (figures[bit] + 0.5) / (sum(figures) + 1)
+                    if p is None:
+                        p = estimate
+                        continue
+                    w = 1.0
+                    if sum(counts[padded[at + 2 - depth : at + 3], node]):
+                        w = math.exp(min(0, kt(*figures) - math.log(2) - weighted(context, node)))
+                    p = w * estimate + (1 - w) * p
+                total += math.log10(p)
+        scores.append(total)
+    return scores
+
+
+def test_tree_scores_by_naive_trees(spark, monkeypatch):
+    """Edge rows and a small corpus, by pairs a few codes at a time, against dictionaries."""
+    docs = edge_docs(spark).filter("doc_id <> 8").unionByName(real_docs(spark).limit(12), allowMissingColumns=True)
+    docs = materialize(docs, "trees")
+    rows = docs.selectExpr("doc_id", "coalesce(text, '') text", "crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 10 = 0 h").collect()
+    scores = naive_trees([(r.text.encode().lower(), r.h) for r in rows])
+    want = sorted((str(r.doc_id), round(s, 6)) for r, s in zip(rows, scores, strict=True))
+    for at_once in (1 << 17, 50):
+        monkeypatch.setattr(tree_weighting, "CODES_AT_ONCE", at_once)
+        got = tree_weighting.score(docs).collect()
+        assert len(got) == len(rows) > 20
+        mine = sorted((str(r.doc_id), round(r.score, 6)) for r in got)
+        for (i, x), (j, y) in zip(mine, want, strict=True):
+            assert i == j and x == pytest.approx(y, rel=1e-9, abs=1e-5)
+
+
 @pytest.mark.parametrize("which", [0, 1])
 def test_tree_weighting(spark, which):
     docs = both(spark)[which]
@@ -184,15 +254,11 @@ def test_tree_weighting_is_a_distribution():
     for context in (b"\0\0\0", b"bra", b"xan", b"zzz"):
         base = int.from_bytes(context, "big") << 8
         every = sorted(set(train) | {base + b for b in range(256)})
-        zeros, ones, w = np.zeros(256), np.zeros(256), np.zeros(256)
-        for last in {(c >> 8) & 255 for c in every}:
-            mine = [c for c in every if (c >> 8) & 255 == last]
-            t = tree_weighting._root_parts(pa.table({"code": mine, "n": [train.get(c, 0) for c in mine]}))
-            zeros, ones, w = (a + np.array(t.column(c)[0].as_py()) for a, c in ((zeros, "zeros"), (ones, "ones"), (w, "log_w")))
-        log_e = tree_weighting.log_kt(zeros, ones)
-        weight = np.exp(np.minimum(log_e - np.logaddexp(log_e, w), 0))
-        mine = [c for c in every if (c >> 8) & 255 == context[-1]]
-        t = tree_weighting._answers(zeros, ones, weight)(pa.table({"code": mine, "n": [train.get(c, 0) for c in mine]}))
+        every.sort(key=lambda c: ((c >> 8) & 0xFFFF, c))
+        batch = pa.RecordBatch.from_arrays([pa.array(every), pa.array([train.get(c, 0) for c in every])], ["code", "n"])
+        (sums,) = tree_weighting._pair_sums(iter([batch]))
+        sums = np.array([sums.column(c).to_pylist() for c in tree_weighting.SUMS])
+        t = pa.Table.from_batches(tree_weighting._answers(*tree_weighting.tables(sums))(iter([batch])))
         p = dict(zip(t.column("code").to_pylist(), t.column("log10_p").to_pylist(), strict=True))
         assert abs(sum(10 ** p[base + b] for b in range(256)) - 1) < 1e-9
 

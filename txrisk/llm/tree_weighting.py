@@ -11,13 +11,16 @@ another column.
 
 Documents are dealt into chunks. Each chunk asks for the words and byte strings
 that occur in it; the model answers those, so no task and no driver holds the
-model as a whole. Only the root's 255 decisions, split by the last byte, are
-collected.
+model as a whole. Strings are weighed by the pair of bytes before the last one
+of them, at most 65,536 to a pair however much text there is; only the 255
+decisions after each single byte, added up over pairs, are collected.
 
 Texts are lower-cased in A-Z. Null and empty texts have the end token only, no
 bytes and the score 0. A null id counts as the empty text when documents are
 held out. Repeated rows are trained on as often as they occur. Without training
-documents all estimates are one half. Other columns are not looked at.
+documents all estimates are one half. Texts of any length are taken whole; a long
+one is a chunk of its own size. An empty table gives no rows. Other columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ BITS = 8
 NODES = (1 << BITS) - 1
 HELD_OUT_OF = 10
 SMOOTHING = 0.1
+# Codes that are weighed at once; all of one pair, of which there are 65,536 at most.
+CODES_AT_ONCE = 1 << 17
 LN2 = float(np.log(2))
 LN10 = float(np.log(10))
 
@@ -157,58 +162,110 @@ class _Level:
         return (self.zeros + self.ones)[self.at] > 0
 
 
-def _levels(codes: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, dict[int, _Level]]:
-    """The bit of decision ``k`` and its contexts of depth 1 to DEPTH for one last byte."""
+def _levels(codes: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, dict[int, _Level]]:
+    """Decision ``k``: its bit, its node, and its contexts of depth 2 to DEPTH, all of each pair."""
     byte = codes & 255
     bit = (byte >> (BITS - 1 - k)) & 1
     prefix = byte >> (BITS - k)
     levels: dict[int, _Level] = {}
-    for depth in range(DEPTH, 0, -1):
+    for depth in range(DEPTH, 1, -1):
         context = (codes >> 8) & ((1 << (8 * depth)) - 1)
         levels[depth] = _Level((context << 8) | prefix, bit, n)
         if depth < DEPTH:
             longer = levels[depth + 1]
             shorter = longer.keys & ((1 << (8 * (depth + 1))) - 1)
             levels[depth].weigh(longer, np.searchsorted(levels[depth].keys, shorter))
-    return bit, levels
+    return bit, (1 << k) | prefix, levels
 
 
-def _last_byte(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return table.column("code").to_numpy().astype(np.int64), table.column("n").to_numpy().astype(np.int64)
-
+def _by_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes and counts ordered by pair, some whole pairs at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        codes, n = batch.column("code").to_numpy(), batch.column("n").to_numpy()
+        held.append((codes, n))
+        if sum(len(c) for c, _ in held) < CODES_AT_ONCE:
+            continue
+        codes, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        pair = (codes >> 8) & 0xFFFF
+        last = int(np.searchsorted(pair, pair[-1]))  # the last pair may go on
+        if last:
+            yield codes[:last], n[:last]
+        held = [(codes[last:], n[last:])]
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
-def _root_parts(table: pa.Table) -> pa.Table:
-    """Counts and weighted probabilities at one last byte, by decision of the root."""
-    codes, n = _last_byte(table)
-    zeros, ones, log_w = np.zeros(NODES + 1), np.zeros(NODES + 1), np.zeros(NODES + 1)
-    for k in range(BITS):
-        _, levels = _levels(codes, n, k)
-        node = (1 << k) | (levels[1].keys & 255)
-        zeros[node], ones[node], log_w[node] = levels[1].zeros, levels[1].ones, levels[1].log_w
-    return pa.table({c: [a.tolist()] for c, a in (("zeros", zeros), ("ones", ones), ("log_w", log_w))})
 
+SUMS = ("zeros", "ones", "log_w")
 
-def _answers(zeros: np.ndarray, ones: np.ndarray, weight: np.ndarray):
-    """The decimal logarithm of the byte's probability after its context."""
 
-    def run(table: pa.Table) -> pa.Table:
-        codes, n = _last_byte(table)
-        total = np.zeros(len(codes))
+def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts and weighted probabilities of all pairs of a task, added up by last byte and node."""
+    sums = np.zeros((3, 256 * (NODES + 1)))
+    for codes, n in _by_pairs(batches):
         for k in range(BITS):
-            bit, levels = _levels(codes, n, k)
-            p = levels[DEPTH].estimate(bit)
-            for depth in range(DEPTH - 1, 0, -1):
-                w = np.where(levels[depth + 1].seen(), levels[depth].own_weight()[levels[depth].at], 1.0)
-                p = w * levels[depth].estimate(bit) + (1 - w) * p
-            node = (1 << k) | ((codes & 255) >> (BITS - k))
-            root = (np.where(bit == 1, ones[node], zeros[node]) + 0.5) / (zeros[node] + ones[node] + 1)
-            w = np.where(levels[1].seen(), weight[node], 1.0)
-            total += np.log(w * root + (1 - w) * p)
-        return pa.table({"code": codes, "log10_p": total / LN10})
+            _, _, levels = _levels(codes, n, k)
+            level = levels[2]
+            at = ((level.keys >> 8) & 255) * (NODES + 1) + ((1 << k) | (level.keys & 255))
+            for row, values in enumerate((level.zeros, level.ones, level.log_w)):
+                sums[row] += np.bincount(at, values, sums.shape[1])
+    sums = sums.reshape(3, 256, NODES + 1)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(256, dtype=np.int32))] + [pa.array(list(a), pa.list_(pa.float64())) for a in sums], ["last", *SUMS]
+    )
+
+
+def _added(table: pa.Table) -> pa.Table:
+    sums = [np.sum(table.column(c).to_pylist(), axis=0).tolist() for c in SUMS]
+    return pa.table({"last": pa.array([table.column("last")[0].as_py()], pa.int32())} | {c: [a] for c, a in zip(SUMS, sums, strict=True)})
+
+
+def _answers(below: np.ndarray, root: np.ndarray):
+    """The decimal logarithm of the byte's probability after its context.
+
+    ``below`` and ``root`` have zeros, ones and own weight by node, the first by
+    last byte as well.
+    """
+
+    def mixed(figures: np.ndarray, bit: np.ndarray, seen: np.ndarray, p: np.ndarray) -> np.ndarray:
+        zeros, ones, own = figures
+        estimate = (np.where(bit == 1, ones, zeros) + 0.5) / (zeros + ones + 1)
+        w = np.where(seen, own, 1.0)
+        return w * estimate + (1 - w) * p
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, n in _by_pairs(batches):
+            total, last = np.zeros(len(codes)), (codes >> 8) & 255
+            for k in range(BITS):
+                bit, node, levels = _levels(codes, n, k)
+                p = levels[DEPTH].estimate(bit)
+                for depth in range(DEPTH - 1, 1, -1):
+                    w = np.where(levels[depth + 1].seen(), levels[depth].own_weight()[levels[depth].at], 1.0)
+                    p = w * levels[depth].estimate(bit) + (1 - w) * p
+                here = below[:, last, node]
+                p = mixed(here, bit, levels[2].seen(), p)
+                p = mixed(root[:, node], bit, here[0] + here[1] > 0, p)
+                total += np.log(p)
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(total / LN10)], ["code", "log10_p"])
 
     return run
 
 
+def _weighed(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros, ones and own weight, and the weighted probability, from SUMS over longer contexts."""
+    zeros, ones, product = sums
+    log_e = log_kt(zeros, ones)
+    log_w = np.logaddexp(log_e, product) - LN2
+    return np.stack([zeros, ones, np.exp(np.minimum(log_e - LN2 - log_w, 0))]), log_w
+
+
+def tables(of_last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`_answers` needs of single bytes and of the root, from SUMS by last byte and node."""
+    below, log_w = _weighed(of_last)
+    root, _ = _weighed(np.stack([of_last[0].sum(axis=0), of_last[1].sum(axis=0), log_w.sum(axis=0)]))
+    return below, root
+
+
 def _score(chunk_docs: pa.Table, answers: pa.Table) -> pa.Table:
     is_word = answers.column("code").is_null().to_numpy()
     value, count = answers.column("value").to_numpy(), answers.column("count").to_numpy()
@@ -243,40 +300,39 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     counted = materialize(
         chunks.mapInArrow(_count, "chunk int, word binary, code bigint, n bigint"), "counts"
     )
-    words = materialize(
-        counted.filter("word is not null")
-        .groupBy("word")
-        .agg(F.sum("n").alias("n"), F.collect_list("chunk").alias("chunks")),
-        "words",
-    )
-    n_all, n_distinct = words.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))
-    ).first()
-    codes = materialize(
-        counted.filter("code is not null")
-        .groupBy("code")
-        .agg(F.sum("n").alias("n"), F.collect_list("chunk").alias("chunks")),
-        "strings",
+    def with_total(key: str, name: str) -> DataFrame:
+        """A row for each key and chunk with the key's count, one of them marked."""
+        same, rows = f"over (partition by {key})", counted.filter(f"{key} is not null")
+        return materialize(
+            rows.selectExpr(key, "chunk", f"sum(n) {same} as n", f"row_number() over (partition by {key} order by chunk) = 1 as first"),
+            name,
+        )
+
+    words, codes = with_total("word", "words"), with_total("code", "strings")
+    n_all, n_distinct = (
+        words.filter("first").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     )
-    by_last = codes.select("code", "n", F.shiftright("code", 8).bitwiseAND(F.lit(255)).alias("last"))
-    groups = by_last.groupBy("last")
-    # 256 rows at most of three arrays of 256 numbers
-    parts = groups.applyInArrow(_root_parts, "zeros array<double>, ones array<double>, log_w array<double>").toArrow()
-    stack = lambda c: np.array(parts.column(c).to_pylist()).reshape(-1, NODES + 1).sum(axis=0)
-    zeros, ones, product = stack("zeros"), stack("ones"), stack("log_w")
-    log_e = log_kt(zeros, ones)
-    weight = np.exp(np.minimum(log_e - np.logaddexp(log_e, product), 0))
-    model = groups.applyInArrow(_answers(zeros, ones, weight), "code bigint, log10_p double")
+    pair = F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF))
+    by_pair = codes.filter("first").select("code", "n", pair.alias("pair"))
+    by_pair = by_pair.repartition("pair").sortWithinPartitions("pair", "code")
+    sums = "last int, zeros array<double>, ones array<double>, log_w array<double>"
+    # 256 rows of three arrays of 256 numbers
+    parts = by_pair.mapInArrow(_pair_sums, sums).groupBy("last").applyInArrow(_added, sums).toArrow().to_pydict()
+    of_last = np.zeros((3, 256, NODES + 1))
+    for row, name in enumerate(SUMS):
+        for last, values in zip(parts["last"], parts[name], strict=True):
+            of_last[row, last] = values
+    model = by_pair.mapInArrow(_answers(*tables(of_last)), "code bigint, log10_p double")
 
     per_word = words.select(
-        F.explode("chunks").alias("chunk"),
+        "chunk",
         "word",
         F.lit(None).cast("long").alias("code"),
         F.log10(F.col("n") + SMOOTHING).alias("value"),
         F.col("n").alias("count"),
     )
-    per_code = codes.join(model, "code").select(
-        F.explode("chunks").alias("chunk"),
+    per_code = codes.select("code", "chunk").join(model, "code").select(
+        "chunk",
         F.lit(None).cast("binary").alias("word"),
         "code",
         F.col("log10_p").alias("value"),
