@@ -1,16 +1,21 @@
 """Licence scans: identifier tags and notice phrases by Aho-Corasick.
 
 One automaton finds notice phrases, whole words in sequence, in the words of a
-text; another finds identifier tags in its lower-cased characters. What follows
-a tag on its line is a licence expression of ids, ``and``, ``or``, ``with`` and
-parentheses, which a shunting-yard parser brings into postfix order and
-evaluates: its labels are the ids, and its confidence that of the ids, the
-lowest of both sides for ``and`` and ``with``, the highest for ``or``.
-
-Null and empty texts have no words, no labels and the score 0. Matches may
-overlap and repeated ones count each. Expressions that do not parse give no
-label and a low score. Repeated rows are scanned alike; null ids are kept; other
-columns are not looked at.
+text; another finds identifier tags in its lower-cased characters. Of phrases
+that overlap the leftmost counts, of those the longest; places and labels of the
+base phrases count wherever they stand.
+
+What follows a tag on its line is a licence expression of ids, ``and``, ``or``,
+``with`` and parentheses, which a shunting-yard parser brings into postfix order
+and evaluates. ``and``: every label of both sides holds, with the confidence of
+the weaker one. ``or``: one label with the alternatives, ``a|b``, with that of
+the stronger one. ``with``: the licence with its exception, ``a-with-x``. Ids
+that are not known give no label; a choice is then what is known of it.
+
+Null and empty texts have no words, no labels and the score 0; long ones are
+scanned whole. Expressions that do not parse give no label and a low score.
+Repeated rows are scanned alike; null ids are kept; an empty table gives no
+rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -52,12 +57,36 @@ NOTICES = {
 }
 
 TAGS = ("spdx-license-identifier:", "license-expression:")
+
+def _versions(names: str, versions: str, endings: str = "") -> list[str]:
+    return [f"{n}-{v}{e}" for n in names.split() for v in versions.split() for e in ("", *endings.split())]
+
+
+# Public licence identifiers, families by their versions.
 KNOWN_IDS = frozenset(
-    "0bsd afl-3.0 agpl-3.0-only agpl-3.0-or-later apache-2.0 bsd-2-clause bsd-3-clause bsl-1.0"
-    " cc-by-4.0 cc-by-nc-4.0 cc-by-sa-4.0 cc0-1.0 epl-2.0 gpl-2.0-only gpl-2.0-or-later"
-    " gpl-3.0-only gpl-3.0-or-later isc lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0-only"
-    " lgpl-3.0-or-later mit mit-0 mpl-2.0 ofl-1.1 unlicense wtfpl zlib"
-    " classpath-exception-2.0 llvm-exception gcc-exception-3.1 autoconf-exception-3.0".split()
+    "0bsd aal adsl aml ampas antlr-pd apl-1.0 arphic-1999 artistic-1.0 artistic-2.0 bitstream-vera blessing"
+    " blueoak-1.0.0 bsl-1.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear"
+    " bsd-3-clause-lbnl bsd-4-clause busl-1.1 bzip2-1.0.6 cal-1.0 catosl-1.1 cc-pddc cc0-1.0 cecill-2.1"
+    " cecill-b cecill-c curl ecl-2.0 efl-2.0 elastic-2.0 entessa fair ftl hpnd icu ijg imagemagick"
+    " intel ipa isc jpnic json latex2e libpng libpng-2.0 libtiff lppl-1.3c mit mit-0 mit-cmu mit-modern-variant"
+    " mitnfa mirros ms-pl ms-rl mulanpsl-2.0 multics nasa-1.3 naumen ncsa netcdf ngpl nist-pd nokia nposl-3.0 ntp"
+    " odbl-1.0 odc-by-1.0 ofl-1.0 ofl-1.1 ogtsl oldap-2.8 openssl osl-3.0 pddl-1.0 php-3.01 postgresql psf-2.0"
+    " python-2.0 qpl-1.0 ruby sgi-b-2.0 sissl sleepycat spl-1.0 sspl-1.0 tcl unicode-dfs-2016 unlicense upl-1.0"
+    " vim w3c wtfpl x11 xnet zlib zpl-2.1".split()
+    + _versions("apache", "1.0 1.1 2.0")
+    + _versions("afl", "1.1 1.2 2.0 2.1 3.0")
+    + _versions("cc-by cc-by-nc cc-by-nd cc-by-sa cc-by-nc-nd cc-by-nc-sa", "1.0 2.0 2.5 3.0 4.0")
+    + _versions("epl", "1.0 2.0") + _versions("eupl", "1.0 1.1 1.2") + _versions("cddl", "1.0 1.1")
+    + _versions("mpl", "1.0 1.1 2.0")
+    + _versions("gpl", "1.0 2.0 3.0", "-only -or-later")
+    + _versions("lgpl", "2.0 2.1 3.0", "-only -or-later")
+    + _versions("agpl", "1.0 3.0", "-only -or-later")
+    + _versions("gfdl", "1.1 1.2 1.3", "-only -or-later")
+)
+EXCEPTIONS = frozenset(
+    "classpath-exception-2.0 llvm-exception gcc-exception-2.0 gcc-exception-3.1 autoconf-exception-2.0"
+    " autoconf-exception-3.0 bison-exception-2.2 font-exception-2.0 libtool-exception linux-syscall-note"
+    " openvpn-openssl-exception qt-gpl-exception-1.0 swift-exception u-boot-exception-2.0 wxwindows-exception-3.1".split()
 )
 UNKNOWN_ID_SCORE = 0.5
 UNPARSED_SCORE = 0.3
@@ -117,16 +146,40 @@ def postfix(expression: str) -> list[str]:
     return out
 
 
-def evaluate(expression: str) -> tuple[set[str], float]:
-    """Ids of an expression and its confidence."""
-    values: list[tuple[set[str], float]] = []
+def _one(labels: frozenset[str]) -> str:
+    """Labels that hold together as one alternative."""
+    if len(labels) == 1:
+        return next(iter(labels))
+    return "&".join(sorted(f"({x})" if "|" in x else x for x in labels))
+
+
+def _either(a: frozenset[str], b: frozenset[str]) -> frozenset[str]:
+    if not a or not b or a == b:
+        return a or b
+    # a choice among choices is one choice
+    alternatives = {x for side in (a, b) for x in (_one(side).split("|") if len(side) == 1 else [_one(side)])}
+    return frozenset(["|".join(sorted(alternatives))])
+
+
+def evaluate(expression: str) -> tuple[frozenset[str], float]:
+    """Labels of an expression, which all hold, and its confidence."""
+    values: list[tuple[frozenset[str], float]] = []
     for token in postfix(expression):
-        if token in BINDING:
-            (b, q), (a, p) = values.pop(), values.pop()
-            values.append((a | b, max(p, q) if token == "or" else min(p, q)))
+        if token not in BINDING:
+            known = token.removesuffix("+") in KNOWN_IDS or token in EXCEPTIONS
+            values.append((frozenset([token] if known else []), 1.0 if known else UNKNOWN_ID_SCORE))
+            continue
+        (b, q), (a, p) = values.pop(), values.pop()
+        if token == "or":
+            values.append((_either(a, b), max(p, q)))
+        elif token == "and":
+            values.append((a | b, min(p, q)))
+        elif b <= EXCEPTIONS and b:
+            values.append((frozenset(f"{x}-with-{_one(b)}" for x in a), min(p, q)))
         else:
-            values.append(({token}, 1.0 if token in KNOWN_IDS else UNKNOWN_ID_SCORE))
-    return values[0]
+            values.append((a, min(p, UNKNOWN_ID_SCORE)))
+    labels, confidence = values[0]
+    return labels - EXCEPTIONS, confidence
 
 
 def automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
@@ -150,11 +203,11 @@ def scan_text(text: str | None, phrases, tags) -> tuple:
     line = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
     n_base, first, last, base, labels, score = 0, None, None, set(), set(), 0.0
     counted_to = blanks = 0
+    matches = []
     for end, (length, is_base, label, confidence) in phrases.iter(line):
-        labels.add(label)
-        score = max(score, confidence)
+        start = end + 1 - length
+        matches.append((start, -length, label, confidence))
         if is_base:
-            start = end + 1 - length
             if start >= counted_to:
                 blanks += line.count(" ", counted_to, start)
                 at = blanks
@@ -163,8 +216,16 @@ def scan_text(text: str | None, phrases, tags) -> tuple:
                 at = blanks - line.count(" ", start, counted_to)
             n_base += 1
             base.add(label)
+            score = max(score, confidence)
             first = at if first is None else min(first, at)
             last = at if last is None else max(last, at)
+    labels |= base
+    free = 0
+    for start, less, label, confidence in sorted(matches):
+        if start >= free:  # leftmost, then longest; the blank between two phrases is of both
+            free = start - less - 1
+            labels.add(label)
+            score = max(score, confidence)
     lower = raw.lower().decode("utf-8", "surrogatepass")
     for end, _ in tags.iter(lower):
         stop = lower.find("\n", end + 1)
@@ -173,7 +234,7 @@ def scan_text(text: str | None, phrases, tags) -> tuple:
         try:
             ids, confidence = evaluate(rest)
         except ValueError:
-            ids, confidence = set(), UNPARSED_SCORE
+            ids, confidence = frozenset(), UNPARSED_SCORE
         labels |= ids
         score = max(score, confidence)
     found = (",".join(sorted(base)), ",".join(sorted(labels)))
