@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import math
+import os
 import re
 from collections import Counter
 
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from txrisk.llm import (
@@ -300,8 +302,12 @@ def test_mixing_many_sources(spark, monkeypatch):
     assert sorted(map(key, mixing.mix(docs).collect())) == want
 
 
-@pytest.mark.parametrize(("which", "length"), [(0, 400), (0, 32), (1, 400), (1, 64)])
-def test_suffixes(spark, which, length):
+@pytest.mark.parametrize(
+    ("which", "length", "bands"), [(0, 400, 2_000), (0, 32, 2_000), (1, 400, 2_000), (1, 64, 2_000), (0, 32, 1), (1, 64, 1)]
+)
+def test_suffixes(spark, which, length, bands, monkeypatch):
+    """All bands of a core in one array, and told apart string by string."""
+    monkeypatch.setattr(suffixes, "BANDS_OF_A_SORT", bands)
     docs = both(spark)[which]
     texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     count = Counter(t[i : i + length] for _, t in texts for i in range(len(t) - length + 1))
@@ -323,6 +329,32 @@ def test_suffixes(spark, which, length):
     )
 
 
+def test_a_passage_in_a_third_of_all_documents(spark, monkeypatch):
+    """The bands at its borders do not meet in one task, and all of it goes."""
+    sizes = []
+    by_strings = suffixes._by_strings
+    monkeypatch.setattr(suffixes, "_by_strings", lambda *a: sizes.append(a[0].count()) or by_strings(*a))
+    rng = np.random.default_rng(8)
+    passage = "".join(rng.choice(list("abcdefgh "), 700))
+    text = "case when id % 3 = 0 then concat(sha2(string(id), 512), '. ', '{0}', ' ', sha2(string(-id), 512)) else repeat(sha2(string(id), 512), 1) end"
+    docs = spark.range(20_000).selectExpr("id as doc_id", text.format(passage) + " as text")
+    got = suffixes.remove_repeats(docs)
+    assert sizes and sizes[0] > 2 * suffixes.BANDS_OF_A_SORT
+    shared = range(0, 20_000, 3)
+
+    def in_common(contexts):
+        """Bytes that each context begins with and so does another one."""
+        order = sorted(range(len(contexts)), key=contexts.__getitem__)
+        same = [len(os.path.commonprefix([contexts[a], contexts[b]])) for a, b in zip(order, order[1:], strict=False)]
+        return {at: max(x, y) for at, x, y in zip(order, [0, *same], [*same, 0], strict=True)}
+
+    digest = lambda n: hashlib.sha512(str(n).encode()).hexdigest()
+    left, right = in_common([digest(i)[::-1] for i in shared]), in_common([digest(-i) for i in shared])
+    # the stop and the blanks beside the passage are shared as well
+    want = {i: (len(passage) + 3 + left[n] + right[n], 1) for n, i in enumerate(shared)}
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in got.collect()} == {i: want.get(i, (0, 0)) for i in range(20_000)}
+
+
 def test_passages_of_few_words_stay(spark):
     rng = np.random.default_rng(8)
     words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))

@@ -6,7 +6,9 @@ hash among its ``length`` bytes, and to a band of distances to it. Starts of one
 band share a core of bytes that all their strings contain, so strings can only
 be equal where cores are. Cores are counted over all texts; where one occurs
 twice, the bands are told apart by their bytes, and bands with one core but
-different bytes go into a suffix array.
+different bytes go into a suffix array. A passage in a large part of all texts
+leaves as many different bands at its borders as there are texts; such cores are
+split down to single strings, which are counted by their digests.
 
 The array is made in two stages. Suffixes smaller than their successors are
 sorted directly; all others are induced from their successors by one scan over
@@ -39,6 +41,8 @@ GRAM = 8
 # bands of one core allow.
 STARTS_AT_ONCE = 1 << 20
 STARTS_OF_A_SORT = 1 << 17
+# Different bands of one core beyond which their strings are told apart one by one.
+BANDS_OF_A_SORT = 2_000
 
 
 def band_width(length: int) -> int:
@@ -238,6 +242,41 @@ def _sorted_batches(length: int):
     return run
 
 
+def _by_strings(pieces: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
+    """``core``, ``whole`` and the ``runs`` of repeated starts of each band, by counting its strings.
+
+    ``runs`` is null for a band that occurs more than once, all of which goes.
+    """
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("core", "whole", "bytes", "n"))
+            for core, whole, band, n in zip(*columns, strict=True):
+                digests = [xxhash.xxh3_128_digest(band[i : i + length]) for i in range(n)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([core] * n, pa.int64()), pa.array([whole] * n, pa.int64()),
+                        pa.array(range(n), pa.int32()), pa.array(digests, pa.binary()),
+                    ],
+                    ["core", "whole", "at", "digest"],
+                )
+
+    # stored, so that the joins below read plain exchanges, whose hot keys can be split
+    starts = materialize(
+        pieces.mapInArrow(strings, "core bigint, whole bigint, at int, digest binary").join(
+            mixed.select("core", "whole", "times"), ["core", "whole"]
+        ),
+        "strings",
+    )
+    often = starts.groupBy("digest").agg(F.sum("times").alias("all")).filter("all > 1").select("digest")
+    again = starts.join(materialize(often, "often"), "digest").groupBy("core", "whole").agg(
+        F.collect_list(F.struct("at", F.lit(1).alias("n"))).alias("runs")
+    )
+    nothing = F.array().cast("array<struct<at:int,n:int>>")
+    bands_ = starts.select("core", "whole", "times").distinct().join(again, ["core", "whole"], "left")
+    return bands_.select("core", "whole", F.when(F.col("times") < 2, F.coalesce("runs", nothing)).alias("runs"))
+
+
 def spans_of(runs: list[dict], length: int) -> list[tuple[int, int]]:
     """The maximal spans covered by the strings that begin in ``runs``."""
     spans: list[tuple[int, int]] = []
@@ -325,14 +364,22 @@ def repeats_by_text(docs: DataFrame, text: str = "text", length: int = LENGTH) -
     pieces = touched.select("text", "wanted").mapInArrow(
         cut_out_bands, "core bigint, whole bigint, bytes binary, n int"
     )
+    crowded = mixed.groupBy("core").agg(F.count(F.lit(1)).alias("bands")).filter(F.col("bands") > BANDS_OF_A_SORT)
+    crowded = materialize(crowded.select("core"), "crowded")
+    any_crowded = not crowded.isEmpty()
+    if any_crowded:
+        pieces = materialize(pieces, "pieces")
     found = (
-        pieces.repartition(shuffle_parts(docs), "core")
+        (pieces.join(crowded, "core", "left_anti") if any_crowded else pieces)
+        .repartition(shuffle_parts(docs), "core")
         .sortWithinPartitions("core", "whole")
         .mapInArrow(_sorted_batches(length), "core bigint, whole bigint, runs array<struct<at:int,n:int>>")
     )
     found = found.join(mixed.select("core", "whole", "times"), ["core", "whole"]).select(
         "core", "whole", F.when(F.col("times") < 2, F.col("runs")).alias("runs")
     )
+    if any_crowded:
+        found = found.unionByName(_by_strings(pieces.join(crowded, "core", "left_semi"), mixed, length))
     found = materialize(found, "found")
     whole_band = F.array(F.struct(F.lit(0).alias("at"), F.col("n")))
     of_mixed = repeated.filter("not alike").join(found, ["core", "whole"]).withColumn(
