@@ -418,6 +418,16 @@ def test_quality_on_labelled_rows(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
 
 
+def test_quality_on_labels_it_has_not_seen(spark):
+    """Calibrated on four fifths of the labels, judged by the rest."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumn("unseen", F.expr("crc32(string(doc_id)) % 5 = 0"))
+    judged = quality.judge(docs, labels.filter("not unseen")).join(labels.filter("unseen"), "doc_id")
+    good, bad = ([r.kept for r in judged.filter(f"quality = {q} and n_words >= 50").collect()] for q in (1, 0))
+    assert len(good) > 40 and len(bad) > 5
+    assert sum(good) >= 0.9 * len(good) and sum(bad) <= 0.2 * len(bad)
+
+
 def test_licenses(spark):
     for docs in both(spark):
         for r in licenses.scan(docs).join(docs.select("doc_id", "text"), "doc_id").collect():

@@ -10,7 +10,8 @@ target.
 
 Null texts and texts without words have size 0. A null source is a source of its
 own, the last one. Rows equal in id and text have one hash, so they are taken
-together. A null id is hashed with its text. Other columns are not looked at; an
+together. A null id is hashed with its text. Long texts are counted whole; of two
+thresholds equally near to the target the higher one holds. Other columns are not looked at; an
 empty table gives no rows.
 """
 

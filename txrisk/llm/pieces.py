@@ -15,8 +15,9 @@ pieces of the table. A file of another kind is read as pieces with scores.
 Each chunk of documents asks for its units and gets their ids, so no task holds
 all units. Decoding joins the pieces' bytes. A null or empty text has no ids and
 decodes to the empty text. Texts decode to themselves, except that U+2581, the
-mark for a blank, becomes one. Repeated rows stay; null ids are kept; other
-columns are not looked at.
+mark for a blank, becomes one. Long texts are encoded whole. Repeated rows stay;
+null ids are kept; an empty table gives no rows; other columns are not looked at,
+and decoding writes a column ``text`` of its own in place of one of that name.
 """
 
 from __future__ import annotations

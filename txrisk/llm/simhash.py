@@ -9,8 +9,10 @@ pairs that reach five are verified bit by bit.
 
 Null and empty texts have the fingerprint zero, like all texts without words,
 and are linked to each other. Repeated rows stay as they are. A null id is kept
-and never names a component unless all its ids are null. Other columns of the
-input are not looked at.
+and never names a component unless all its ids are null. A bit set in exactly half
+of the hashes is not set in the fingerprint. Long texts are hashed whole, shingle
+by shingle. An empty table gives no rows. Other columns of the input are not
+looked at.
 """
 
 from __future__ import annotations

@@ -17,8 +17,10 @@ are repeated, and so is what occurs more than once with the same bytes.
 
 Null and empty texts have no bytes. Copies of a text are compared once, counted
 as often as they occur. Repeated rows are occurrences like any other. Matches
-are within UTF-8 bytes and never cross texts. Null ids are kept; other columns
-are not looked at.
+are within UTF-8 bytes and never cross texts. Long texts are cut into bands piece
+by piece and never shortened. Equal strings count alike wherever they stand, so
+there are no ties to settle. Null ids are kept; an empty table gives no rows;
+other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ on the next level, down to the damaged records.
 
 Null fields are written as empty. Repeated rows are records of their own,
 interchangeable in the order. Empty replicas agree; records that only one
-replica has are reported with a null digest on the other side.
+replica has are reported with a null digest on the other side. Pages of any length
+are records like others. Columns other than the three of a page are not looked at.
 """
 
 from __future__ import annotations
