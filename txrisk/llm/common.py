@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +86,35 @@ def unpacked(docs: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(docs.as_buffer()).read_all()
 
 
+def streamed(
+    batches: Iterator[pa.RecordBatch], part: str, load: Callable, answer: Callable, at_once: int
+) -> Iterator[pa.RecordBatch]:
+    """Join of rows ordered by ``part`` and ``kind``, where one side is held and the other streams by.
+
+    ``load`` makes of the rows of kind 0 of a part, as a table, what is held;
+    ``answer`` takes the part, that, and up to ``at_once`` rows of kind 1, and
+    yields batches. A part without rows of kind 0 has no answers.
+    """
+    now, held, ready = None, [], None
+    for batch in batches:
+        parts, kinds = batch.column(part).to_numpy(), batch.column("kind").to_numpy()
+        edge = np.flatnonzero((parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(parts)], strict=True):
+            if a == b:
+                continue
+            piece = batch.slice(a, b - a)
+            if parts[a] != now:
+                now, held, ready = parts[a], [], None
+            if kinds[a] == 0:
+                held.append(piece)
+                continue
+            if ready is None and held:
+                ready, held = load(pa.Table.from_batches(held)), []
+            if ready is not None:
+                for at in range(0, b - a, at_once):
+                    yield from answer(int(now), ready, piece.slice(at, at_once))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node reachable, for every node of ``edges``.
 

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txrisk.llm.common import streamed
 from txrisk.session import materialize
 
 SCALE = 256
@@ -227,28 +228,6 @@ def _products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ m.astype(np.int64).T
 
 
-def _streamed(batches: Iterator[pa.RecordBatch], part: str, load, answer) -> Iterator[pa.RecordBatch]:
-    """Rows ordered by ``part`` and kind: what is held (0), then the anchors (1) that stream by it."""
-    now, held, ready = None, [], None
-    for batch in batches:
-        parts, kinds = batch.column(part).to_numpy(), batch.column("kind").to_numpy()
-        edge = np.flatnonzero((parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(parts)], strict=True):
-            if a == b:
-                continue
-            piece = batch.slice(a, b - a)
-            if parts[a] != now:
-                now, held, ready = parts[a], [], None
-            if kinds[a] == 0:
-                held.append(piece)
-                continue
-            if ready is None:
-                ready, held = load(pa.Table.from_batches(held)) if held else None, []
-            for at in range(0, b - a, ANCHORS_AT_ONCE if ready is not None else b):
-                if ready is not None:
-                    yield from answer(int(now), ready, piece.slice(at, ANCHORS_AT_ONCE))
-
-
 def _spans(batch: pa.RecordBatch) -> list:
     return [[(w["lo"], w["hi"]) for w in ws] for ws in batch.column("windows").to_pylist()]
 
@@ -298,7 +277,7 @@ def choose(index: Index, asked: DataFrame) -> DataFrame:
         )
 
     both = zones.unionByName(asking).repartition("group").sortWithinPartitions("group", "kind")
-    return both.mapInArrow(lambda b: _streamed(b, "group", load, answer), f"extent int, {REQUEST}")
+    return both.mapInArrow(lambda b: streamed(b, "group", load, answer, ANCHORS_AT_ONCE), f"extent int, {REQUEST}")
 
 
 FOUND = "anchor bigint, w int, score bigint, id bigint, row bigint"
@@ -357,7 +336,7 @@ def visit(index: Index, requests: DataFrame, same_label: bool, best: int) -> Dat
         )
 
     both = held.unionByName(asking).repartition("extent").sortWithinPartitions("extent", "kind")
-    return both.mapInArrow(lambda b: _streamed(b, "extent", load, answer), FOUND)
+    return both.mapInArrow(lambda b: streamed(b, "extent", load, answer, ANCHORS_AT_ONCE), FOUND)
 
 
 def best_in_windows(index: Index, asked: DataFrame, same_label: bool, best: int) -> DataFrame:

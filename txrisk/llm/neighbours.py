@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from txrisk.llm.common import streamed
 from txrisk.session import materialize
 
 # Bounds of what is fitted on the driver: sampled vectors and partitions.
@@ -38,9 +39,9 @@ EPOCHS = 30
 TARGET_RECALL = 0.96
 SEED = 5
 
-# Rows and queries of one group.
+# Rows of a block, which a task holds, and queries that it answers at once.
 BLOCK_ROWS = 4_096
-BLOCK_QUERIES = 4_096
+QUERIES_AT_ONCE = 1_024
 
 
 def clean(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -204,33 +205,33 @@ def _routed(rows: DataFrame, model: Classifier | None, visits: int, everything:
     return rows.mapInArrow(run, "vec_id bigint, v array<double>, parts array<int>")
 
 
+def _held(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block, rows equal in both once."""
+    ids, x = rows.column("vec_id").to_numpy(), _matrix(rows.column("v"))
+    both = np.concatenate([ids.view(np.float64)[:, None], x], axis=1)
+    whole = np.ascontiguousarray(both).view(f"V{both.shape[1] * 8}")
+    first = np.sort(np.unique(whole, return_index=True)[1])
+    return ids[first], x[first]
+
+
 def _rerank(k: int):
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+    def answer(place: int, held: tuple, queries: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, x = held
         out = {"query_id": [], "vector": [], "vec_id": [], "score": []}
-        if rows.num_rows and queries.num_rows:
-            ids, x = rows.column("vec_id").to_numpy(), _matrix(rows.column("v"))
-            both = np.concatenate([ids.view(np.float64)[:, None], x], axis=1)
-            first = np.sort(np.unique(np.ascontiguousarray(both).view(f"V{both.shape[1] * 8}"), return_index=True)[1])
-            ids, x = ids[first], x[first]
-            marks = queries.column("vector").to_numpy()
-            for q, mark, v in zip(
-                queries.column("vec_id").to_numpy(), marks, _matrix(queries.column("v")), strict=True
-            ):
-                score = np.sqrt(((x - v) ** 2).sum(axis=1))
-                score[ids == q] = np.inf
-                best = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1]) if len(score) > k else np.arange(len(score))
-                best = best[np.lexsort((ids[best], score[best]))][:k]
-                best = best[np.isfinite(score[best])]
-                out["query_id"].append(np.full(len(best), q))
-                out["vector"].append(np.full(len(best), mark))
-                out["vec_id"].append(ids[best])
-                out["score"].append(score[best])
-        kinds = {"score": np.float64}
-        return pa.table(
-            {c: np.concatenate(a) if a else np.zeros(0, kinds.get(c, np.int64)) for c, a in out.items()}
-        )
-
-    return run
+        marks = queries.column("vector").to_numpy()
+        for q, mark, v in zip(queries.column("vec_id").to_numpy(), marks, _matrix(queries.column("v")), strict=True):
+            score = np.sqrt(((x - v) ** 2).sum(axis=1))
+            score[ids == q] = np.inf
+            best = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1]) if len(score) > k else np.arange(len(score))
+            best = best[np.lexsort((ids[best], score[best]))][:k]
+            best = best[np.isfinite(score[best])]
+            out["query_id"].append(np.full(len(best), q))
+            out["vector"].append(np.full(len(best), mark))
+            out["vec_id"].append(ids[best])
+            out["score"].append(score[best])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in out.values()], list(out))
+
+    return answer
 
 
 def search(
@@ -263,8 +264,8 @@ def search(
     parts = max(counts, default=0) + 1
     blocks = F.array(*(F.lit(max(1, -(-counts.get(p, 0) // BLOCK_ROWS))) for p in range(parts)))
     held = F.array(*(F.lit(counts.get(p, 0)).cast("long") for p in range(parts)))
-    groups = max(1, -(-asked.count() // BLOCK_QUERIES))
 
+    place = F.shiftleft(F.col("part").cast("long"), 40) + F.col("block")
     # as many partitions as found on the sample, and on until they hold enough rows
     to = _routed(asked, model, visits, True).withColumn("held", held).withColumn("visits", F.lit(visits))
     enough = F.expr(
@@ -275,18 +276,18 @@ def search(
         to.withColumn("part", F.explode(enough))
         .withColumn("blocks", F.coalesce(F.try_element_at(blocks, F.col("part") + 1), F.lit(1)))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("turn", F.pmod(mark, F.lit(groups)).cast("int"))
-        .select("part", "block", "turn", "vec_id", "v", mark.alias("vector"))
+        .select(place.alias("place"), F.lit(1).alias("kind"), "vec_id", "v", mark.alias("vector"))
     )
     dealt = (
         routed.withColumn("blocks", F.element_at(blocks, F.col("part") + 1))
-        .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-        .withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        .select("part", "block", "turn", "vec_id", "v")
+        .withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")))
+        .select(place.alias("place"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(None).cast("long").alias("vector"))
     )
-    keys = ["part", "block", "turn"]
-    found = dealt.groupBy(*keys).cogroup(to.groupBy(*keys)).applyInArrow(
-        _rerank(k), "query_id bigint, vector bigint, vec_id bigint, score double"
+    # a task holds a block and its queries stream by, so rows move once however many queries there are
+    both = dealt.unionByName(to).repartition("place").sortWithinPartitions("place", "kind")
+    found = both.mapInArrow(
+        lambda batches: streamed(batches, "place", _held, _rerank(k), QUERIES_AT_ONCE),
+        "query_id bigint, vector bigint, vec_id bigint, score double",
     )
     best = Window.partitionBy("query_id", "vector").orderBy("score", "vec_id")
     return (
