@@ -44,7 +44,7 @@ GRAM = 8
 STARTS_AT_ONCE = 1 << 20
 STARTS_OF_A_SORT = 1 << 17
 # Different bands of one core beyond which their strings are told apart one by one.
-BANDS_OF_A_SORT = 2_000
+BANDS_OF_A_SORT = 500
 
 
 def band_width(length: int) -> int:
