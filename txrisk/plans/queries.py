@@ -60,13 +60,10 @@ def _alerts(spark, sf_dir):
     return scoring.only_alerts(_enriched(spark, sf_dir))
 
 
-def _scenario_txns(spark, sf_dir):
-    """Orders through the scenario CSV and back, joined with their users."""
-    path = scratch_path(spark, "scenarios-csv")
-    shop.scenarios(spark, sf_dir).write.option("header", True).csv(path)
-    rows = read_scenarios(spark, path).withColumn("process_date", F.to_date("txn_ts"))
-    data = shop.load(spark, sf_dir)
-    return from_scenarios(rows, data.users, hot=data.hot), data
+def _scenario_txns(data, rows):
+    """Scenario rows joined with their users."""
+    dated = rows.withColumn("process_date", F.to_date("txn_ts"))
+    return from_scenarios(dated, data.users, hot=data.hot)
 
 
 # Roots of the lakes published by this process, by application and data folder.
@@ -288,8 +285,11 @@ def alerts_only(spark, sf_dir):
 
 @query
 def scenarios_scored(spark, sf_dir):
-    """All orders as scenario rows, scored on their own."""
-    txns, data = _scenario_txns(spark, sf_dir)
+    """All orders through the scenario CSV and back, scored on their own."""
+    path = scratch_path(spark, "scenarios-csv")
+    shop.scenarios(spark, sf_dir).write.option("header", True).csv(path)
+    data = shop.load(spark, sf_dir)
+    txns = _scenario_txns(data, read_scenarios(spark, path))
     return show(
         pipeline.enrich(txns, data.hot, span=data.span),
         *_ALERT_COLUMNS, "txns_1h", "countries_24h", "mins_since_prev", "km_since_prev",
@@ -300,7 +300,8 @@ def scenarios_scored(spark, sf_dir):
 @query
 def txn_union_scenarios(spark, sf_dir):
     """Event transactions and order scenarios together, scored as one history."""
-    txns, data = _scenario_txns(spark, sf_dir)
+    data, orders = shop.load(spark, sf_dir), shop.scenarios(spark, sf_dir)
+    txns = _scenario_txns(data, orders.withColumn("txn_ts", F.try_to_timestamp("txn_ts")))
     both = pipeline.with_scenarios(data.transactions, txns)
     return show(pipeline.enrich(both, data.hot, span=data.span), *_ALERT_COLUMNS, "prev_country", "prev_txn_ts")
 
