@@ -43,6 +43,8 @@ MAX_PIECES = 1_000_000
 # The SQL fold copies its arrays at every step. Units beyond this length are
 # folded where they occur, over the same edges in arrays that are not copied.
 LONG_UNIT = 512
+# A list of the chunks that ask for a unit has 2^16 of them at most; more are answered in shares.
+LISTED_BITS = 16
 # Within a chunk, arrays over characters are made for so many bytes of text at a time.
 RUN_BYTES = 2 << 20
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -225,24 +227,25 @@ aggregate(
 
 
 def encode_units(asked: DataFrame, pieces: Pieces) -> DataFrame:
-    """``asked`` (distinct ``unit`` with an array ``chunks``) with ``ids``, by the lattice.
+    """``asked`` (distinct ``unit`` and ``share`` with an array ``chunks``) with ``ids``, by the lattice.
 
     ``ids`` are bytes, ``id_bytes`` for each id, the high one first.
 
-    ``asked`` is hash-partitioned by unit, which exploding keeps, so the grouping
-    moves nothing. The first edge of a unit carries its chunks along. The piece
+    ``asked`` is hash-partitioned by unit and share, which exploding keeps, so the
+    grouping moves nothing. The first edge of a unit carries its chunks along. The piece
     table is broadcast; it is no larger than MAX_PIECES.
     """
     spark = asked.sparkSession
     first = lambda c: F.when(F.col(c) == (0 if c == "start" else 1), F.col("chunks"))
     placed = asked.select(
-        "unit", "chunks", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start")
-    ).select("unit", first("start").alias("chunks"), "start")
+        "unit", "share", "chunks", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("start")
+    ).select("unit", "share", first("start").alias("chunks"), "start")
     longest = F.least(F.lit(pieces.longest), F.length("unit") - F.col("start"))
     spans = placed.select(
-        "unit", "chunks", "start", F.explode(F.sequence(F.lit(1), longest)).alias("n")
+        "unit", "share", "chunks", "start", F.explode(F.sequence(F.lit(1), longest)).alias("n")
     ).select(
         "unit",
+        "share",
         first("n").alias("chunks"),
         "start",
         "n",
@@ -256,8 +259,8 @@ def encode_units(asked: DataFrame, pieces: Pieces) -> DataFrame:
     )
     edge = F.struct(packed.alias("edge"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"))
     lattice = (
-        edges.select("unit", "chunks", edge.alias("edge"))
-        .groupBy("unit")
+        edges.select("unit", "share", "chunks", edge.alias("edge"))
+        .groupBy("unit", "share")
         .agg(
             F.sort_array(F.collect_list("edge")).alias("edges"),
             F.first("chunks", ignorenulls=True).alias("chunks"),
@@ -321,8 +324,9 @@ def encode(
     asked = (
         chunks.sortWithinPartitions("chunk")
         .mapInArrow(units_of_chunks, "chunk int, unit string")
-        .repartition(max(4 * n, shuffle_parts(docs)), "unit")
-        .groupBy("unit")
+        .withColumn("share", F.shiftright("chunk", LISTED_BITS))
+        .repartition(max(4 * n, shuffle_parts(docs)), "unit", "share")
+        .groupBy("unit", "share")
         .agg(F.collect_list("chunk").alias("chunks"))
     )
     # The ids spell their unit, which therefore does not travel with them.
