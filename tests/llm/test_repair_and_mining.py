@@ -155,7 +155,7 @@ def test_conversations_without_rows(spark):
 def mined(rows):
     good = []
     for i, v, label in rows:
-        if label is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+        if label is None or v is None or any(x is None or not abs(x) < 2**19 for x in v):
             continue
         if i is not None and i % 7 == 0:
             label = (label + 1) % 10
@@ -194,6 +194,7 @@ def vectors():
         (100, rows[7][1], 2), (100, rows[7][1], 2), (None, rows[9][1], 1), (5, None, 1), (6, [nan] * 8, 1),
         (7, rows[3][1], None), (8, [None] * 8, 2), (200, [], 3), (300, [1.0, 2.0], 4), (9, [inf] * 8, 3),
         (400, [1e5] * 8, 3), (401, [9e4] * 8, 3), (402, [3e4] * 8, 4),
+        (500, [5e5] * 8, 5), (501, [4.9e5] * 8, 5), (502, [2e5] * 8, 6), (503, [1e6] * 8, 6),
     ]
 
 

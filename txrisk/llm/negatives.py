@@ -388,8 +388,8 @@ def mine(
         "positives",
     )
     span = (
-        f"named_struct('lo', ceil({LEAST_PERCENT} * positive_score / 100bd), "
-        f"'hi', floor({MOST_PERCENT} * positive_score / 100bd))"
+        f"named_struct('lo', ceil({LEAST_PERCENT} * cast(positive_score as decimal(20, 0)) / 100bd), "
+        f"'hi', floor({MOST_PERCENT} * cast(positive_score as decimal(20, 0)) / 100bd))"
     )
     windows = close.groupBy("anchor").agg(
         F.expr(f"transform(array_sort(collect_list(struct(place, {span} as span))), x -> x.span)").alias("windows")
