@@ -80,9 +80,11 @@ def _publish(spark, sf_dir) -> tuple[str, DataFrame]:
 def _lake(spark, sf_dir) -> LakeReads:
     """Reads over the published lake of a data folder; the first of them publishes it."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _LAKES:
+    reads = LakeReads(spark, _LAKES[key]) if key in _LAKES else None
+    if reads is None or reads.run is None:  # not yet published, or cleared away since
         _LAKES[key] = _publish(spark, sf_dir)[0]
-    return LakeReads(spark, _LAKES[key])
+        reads = LakeReads(spark, _LAKES[key])
+    return reads
 
 
 # Columns shown as text: timestamps, dates and reason lists.
