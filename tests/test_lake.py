@@ -298,3 +298,18 @@ def test_command_line(spark, tmp_path, capsys):
           "--lake", str(tmp_path / "lake"), "--date", "2026-05-22"])
     assert "enriched_transactions" in capsys.readouterr().out
     assert LakeReads(spark, str(tmp_path / "lake")).top_alerts().count() == 1
+
+
+def test_silver_is_laid_out_from_stored_rows(spark, tmp_path, monkeypatch):
+    """The range shuffle reads its input twice, so it must not hold the windows."""
+    plans, write = [], lake.write_layer
+
+    def watched(df, root, layer, *rest):
+        if layer is lake.SILVER:
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, root, layer, *rest)
+
+    monkeypatch.setattr(lake, "write_layer", watched)
+    txns = rows.transactions(spark, [rows.txn("1"), rows.txn("2", when="2026-05-20 10:30:00")])
+    pipeline.run(rows.users(spark), txns, str(tmp_path / "lake"))
+    assert len(plans) == 1 and "Window" not in plans[0]

@@ -28,6 +28,9 @@ _SPLIT = f"{float((1 << 27) + 1)}D"
 _AMOUNT = (-3, 1)
 _SQUARE = (-5, 2)
 
+# Most places of squares whose digits are columns; amounts from 0.01 to 10^5 have ten.
+MOST_COLUMNS = 12
+
 
 @dataclass(frozen=True)
 class Span:
@@ -130,13 +133,8 @@ def _leading(digits: str) -> str:
     )
 
 
-def with_mean_and_deviation(df: DataFrame, span: Span, mean: str, deviation: str) -> DataFrame:
-    """Mean and sample deviation from the columns of :func:`moments`, which are dropped.
-
-    Null without a row (deviation: without two). The deviation is the root of
-    n times the sum of squares less the square of the sum, both exact, over
-    n (n - 1).
-    """
+def _from_arrays(df: DataFrame, span: Span, mean: str, deviation: str) -> DataFrame:
+    """:func:`with_mean_and_deviation` over arrays of any number of digits."""
     sums = [f"x{i}" for i in range(len(span.amounts))]
     squares = [f"q{i}" for i in range(len(span.squares))]
     total = f"array({', '.join(f'coalesce({s}, 0L)' for s in sums)}, 0L, 0L)"
@@ -172,3 +170,100 @@ def with_mean_and_deviation(df: DataFrame, span: Span, mean: str, deviation: str
         f"else sqrt(ex_v.m / n / (n - 1)) * {half_root} * {half_root} end as {deviation}",
     )
     return figures.drop("n", "odd", *sums, *squares, "ex_t", "ex_c", "ex_dx", "ex_dq", "ex_sign", "ex_m", "ex_v")
+
+
+def _carried(limbs: list[str]) -> list[str]:
+    """Each limb with what is carried into it; the lowest first."""
+    sums: list[str] = []
+    for limb in limbs:
+        sums.append(f"({limb} + shiftright({sums[-1]}, {BITS}))" if sums else f"({limb})")
+    return sums
+
+
+def _digit_columns(limbs: list[str], name: str) -> list[str]:
+    """Carry through: columns ``name`` and a number, digits from 0 to 2^24 - 1, the lowest first."""
+    return [f"{s} & {BASE - 1}L as {name}{i}" for i, s in enumerate(_carried(limbs))]
+
+
+def _top(name: str, size: int) -> str:
+    """Place of the highest of the digits ``name`` that is not 0, -1 if there is none."""
+    places = " ".join(f"when {name}{i} <> 0 then {i}" for i in reversed(range(size)))
+    return f"case {places} else -1 end"
+
+
+def _leading_of(name: str, size: int, top: str) -> str:
+    """The four digits from ``top`` on as one double, made of two halves."""
+    digits = f"array({', '.join(f'{name}{i}' for i in range(size))})"
+    d = [f"coalesce(get({digits}, {top} - {i}), 0L)" for i in range(4)]
+    upper, lower = f"({d[0]} * {BASE}L + {d[1]})", f"({d[2]} * {BASE}L + {d[3]})"
+    return (
+        f"case {top} when -1 then 0D when 0 then double({d[0]}) when 1 then double({upper}) "
+        f"when 2 then {upper} * pow(2D, {BITS}) + {d[2]} else {upper} * pow(2D, {2 * BITS}) + {lower} end"
+    )
+
+
+def with_mean_and_deviation(df: DataFrame, span: Span, mean: str, deviation: str) -> DataFrame:
+    """Mean and sample deviation from the columns of :func:`moments`, which are dropped.
+
+    Null without a row (deviation: without two). The deviation is the root of
+    n times the sum of squares less the square of the sum, both exact, over
+    n (n - 1). Where few places occur, every digit is a column of its own: plain
+    arithmetic, which takes half the time of functions of arrays. The expressions
+    grow with the square of the places, so many places go through arrays.
+    """
+    if len(span.squares) > MOST_COLUMNS:
+        return _from_arrays(df, span, mean, deviation)
+    sums = [f"x{i}" for i in range(len(span.amounts))]
+    squares = [f"q{i}" for i in range(len(span.squares))]
+    total = [f"coalesce({s}, 0L)" for s in sums] + ["0L", "0L"]
+    # both begin at twice the lowest place of the sum
+    of_squares = ["0L"] + [f"coalesce({s}, 0L)" for s in squares] + ["0L", "0L"]
+    size, size_q = len(total), len(of_squares)
+    size_v = 2 * size + 2
+    low = span.amounts[0]
+    keep = [c for c in df.columns if c not in {"odd", *sums, *squares}]
+    kept = [*[f"`{c}`" for c in keep], "odd"]
+
+    def product(t: int) -> str:
+        terms = [f"ex_d{j} * ex_d{t - j}" for j in range(max(0, t - size + 1), min(t, size - 1) + 1)]
+        return f"n * {f'ex_u{t}' if t < size_q else '0L'} - ({' + '.join(terms)})"
+
+    # a negative sum is taken with the other sign
+    signed = df.selectExpr(
+        *kept,
+        *[f"{t} as ex_t{i}" for i, t in enumerate(total)],
+        *_digit_columns(of_squares, "ex_u"),
+        f"if(shiftright({_carried(total)[-1]}, {BITS}) < 0, -1L, 1L) as ex_sign",
+    )
+    digits = signed.selectExpr(
+        *kept,
+        "ex_sign",
+        *_digit_columns([f"ex_sign * ex_t{i}" for i in range(size)], "ex_d"),
+        *[f"ex_u{i}" for i in range(size_q)],
+    )
+    products = digits.selectExpr(
+        *kept,
+        "ex_sign",
+        *[f"ex_d{i}" for i in range(size)],
+        f"{_top('ex_d', size)} as ex_i",
+        *[f"{product(t)} as ex_p{t}" for t in range(2 * size - 1)],
+    )
+    led = products.selectExpr(
+        *kept,
+        "ex_sign",
+        "ex_i",
+        f"{_leading_of('ex_d', size, 'ex_i')} as ex_m",
+        *_digit_columns([f"ex_p{t}" for t in range(2 * size - 1)] + ["0L"] * 3, "ex_v"),
+    )
+    placed = led.selectExpr("*", f"{_top('ex_v', size_v)} as ex_j").selectExpr(
+        *kept, "ex_sign", "ex_i", "ex_m", "ex_j", f"{_leading_of('ex_v', size_v, 'ex_j')} as ex_w"
+    )
+    half_mean = f"pow(2D, 12 * (greatest(ex_i - 3, 0) + {low}))"
+    half_root = f"pow(2D, 6 * (greatest(ex_j - 3, 0) + {2 * low}))"
+    return placed.selectExpr(
+        *[c for c in kept if c not in ("`n`", "odd")],
+        f"case when n = 0 then null when odd <> 0 then odd "
+        f"else ex_sign * (ex_m / n) * {half_mean} * {half_mean} end as {mean}",
+        f"case when n < 2 then null when odd <> 0 then double('NaN') "
+        f"else sqrt(ex_w / n / (n - 1)) * {half_root} * {half_root} end as {deviation}",
+    )

@@ -14,7 +14,7 @@ from txrisk.operators.quality import quality_report, require_pass
 from txrisk.operators.scoring import ALERT_LEVELS, add_risk, only_alerts
 from txrisk.operators.skew import ROWS_PER_TASK, HotKeys
 from txrisk.plans import lake
-from txrisk.session import released
+from txrisk.session import materialize, released
 
 
 def enrich(
@@ -94,6 +94,8 @@ def run(
             # numbers of stored rows: the same again if a task is repeated
             numbered = txns.withColumn("row_no", F.monotonically_increasing_id())
             scored = enrich(numbered, rows_per_task=rows_per_task, tasks=tasks)
+            # The range shuffle of the layer reads its input twice: it gets stored rows.
+            scored = materialize(scored, "scored")
             enriched = lake.write_layer(scored, root, lake.SILVER, run_id, tasks)
             report = lake.write_layer(
                 quality_report(users, txns, enriched, process_date), root, lake.DATA_QUALITY, run_id
