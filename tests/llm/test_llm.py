@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from txrisk.llm import (
@@ -553,3 +554,26 @@ def test_native_plans(spark):
     for query in (queries.op4_mixing, queries.op10_sharding):
         plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
+
+
+def test_quality_counts_every_labelled_row(spark):
+    """More rows than any sample held: each is in the forest's counts."""
+    n = 30_000
+    stats = spark.range(n).selectExpr(
+        "id as doc_id", "100L as n_words", "400 + id % 97 as word_chars", "id % 7 as n_symbols",
+        "0L as n_dup_lines", "0L as n_repeat_words",
+    )
+    forest, _ = quality.fit(stats, stats.selectExpr("doc_id", "1 as quality"))
+    assert forest.rows == n
+    cut = quality.calibrate(spark.range(n).selectExpr("int(id < 29990) as quality", f"id / {n}D as score"))
+    assert 29989 / n < cut < 29990 / n
+
+
+def test_distances_of_the_sample_are_held_in_small_blocks():
+    from txrisk.llm import neighbours
+
+    x = np.random.default_rng(1).standard_normal((500, 8))
+    assert neighbours.NEAREST_BLOCK * neighbours.SAMPLE_ROWS * 8 <= 16 << 20
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert (np.sort(neighbours.nearest_in(x, 5)) == np.sort(np.argsort(d, axis=1)[:, :5])).all()

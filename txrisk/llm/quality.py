@@ -3,8 +3,8 @@
 Five statistics are taken of every whole text: words, code points in words,
 symbols, repeated lines and words in repeated windows. A forest of random splits
 gives each document the length of its path; documents that few splits set apart
-are anomalous. The forest grows on a bounded number of rows labelled good, and
-the threshold is calibrated on the labelled rows of both kinds. A base rule (too few words, or mostly repeated ones) rejects without the forest.
+are anomalous. Every row labelled good is counted in every node of the forest, and
+the threshold is calibrated on all labelled rows of both kinds. A base rule (too few words, or mostly repeated ones) rejects without the forest.
 
 Null and empty texts have no words and fail the base rule; long texts are taken
 whole. An empty table gives no rows. Repeated rows are judged alike; a document with several labels counts once for each. Without any
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from txrisk.session import materialize
 
@@ -28,15 +29,14 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 
-# The forest: trees, rows in the sample of a tree, and the most labelled rows
-# that the forest is grown on and the threshold is calibrated on.
+# The forest: trees, and the most cuts above a leaf.
 TREES = 200
-TREE_ROWS = 256
 DEPTH = 12
-LABELLED_ROWS = 20_000
 SEED = 11
 # Rejecting a good document weighs as much as keeping so many bad ones.
 GOOD_WEIGHT = 10.0
+# Scores are ordered within so many bins, and the bins among each other.
+SCORE_BINS = 1 << 16
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -115,18 +115,37 @@ class IsolationForest:
     rows: int
 
     @staticmethod
-    def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS):
-        """Trees over samples of ``x``; cuts are drawn from the whole box ``low`` to ``high``.
+    def counted(feature: np.ndarray, cut: np.ndarray, count: np.ndarray):
+        """The trees of :func:`random_cuts`, cut off where a node holds one row at most.
 
-        Rows of ``x`` that are all alike in a statistic still get cuts there, so
-        what lies outside their values is set apart.
+        ``count`` has the rows at which a descent ended, by tree and place.
         """
-        rng = np.random.default_rng(SEED)
-        rows = min(rows, len(x))
-        return IsolationForest(
-            [_grow_tree(x[rng.choice(len(x), rows, replace=False)], low, high, rng) for _ in range(trees)],
-            rows,
-        )
+        count, inner = count.copy(), feature.shape[1]
+        for first in [(1 << d) - 1 for d in reversed(range(DEPTH))]:
+            below = count[:, 2 * first + 1 : 4 * first + 3]
+            count[:, first : 2 * first + 1] += below.reshape(len(count), -1, 2).sum(axis=2)
+        split = np.zeros(count.shape, bool)
+        split[:, :inner] = (feature >= 0) & (count[:, :inner] > 1)
+        reached = np.zeros(count.shape, bool)
+        reached[:, 0] = True
+        for first in [(1 << d) - 1 for d in range(DEPTH)]:
+            on = reached[:, first : 2 * first + 1] & split[:, first : 2 * first + 1]
+            reached[:, 2 * first + 1 : 4 * first + 3] = np.repeat(on, 2, axis=1)
+        trees = []
+        for t in range(len(count)):
+            places = np.flatnonzero(reached[t])
+            at = split[t, places]
+            up = np.where(at, places, 0)
+            depth = np.floor(np.log2(places + 1))
+            trees.append(
+                (
+                    np.where(at, feature[t, up], -1),
+                    np.where(at, cut[t, up], 0.0),
+                    np.where(at, np.searchsorted(places, 2 * up + 1), 0),
+                    np.where(at, 0.0, depth + _usual_path(count[t, places])),
+                )
+            )
+        return IsolationForest(trees, int(count[0, 0]))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1; above one half a path is shorter than usual."""
@@ -142,44 +161,102 @@ class IsolationForest:
         return np.exp2(-total / len(self.trees) / usual)
 
 
-def _grow_tree(x: np.ndarray, low: np.ndarray, high: np.ndarray, rng: np.random.Generator):
-    feature, cut, left, path = [-1], [0.0], [0], [0.0]
-    todo = [(0, x, low, high, 0)]
-    while todo:
-        node, rows, lo, hi, at = todo.pop()
-        splits = np.flatnonzero(hi > lo)
-        if at >= DEPTH or len(rows) <= 1 or not len(splits):
-            path[node] = at + float(_usual_path(np.array(len(rows))))
-            continue
-        f = int(rng.choice(splits))
-        value = rng.uniform(lo[f], hi[f])
-        feature[node], cut[node], left[node] = f, value, len(feature)
+def random_cuts(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature (-1: none can be cut) and cut of the inner nodes of TREES full trees.
+
+    The children of place i are 2 i + 1 and 2 i + 2. Cuts are drawn from the whole
+    box ``low`` to ``high``, not from the rows, so what lies outside the values of
+    the good rows is set apart.
+    """
+    rng = np.random.default_rng(SEED)
+    lo, hi = (np.repeat(edge[None, None, :], TREES, axis=0) for edge in (low, high))
+    features, cuts = [], []
+    for _ in range(DEPTH):
+        wide = hi > lo
+        chosen = np.where(wide, rng.random(lo.shape), -1.0).argmax(axis=2)
+        at = chosen[..., None]
+        least, most = np.take_along_axis(lo, at, 2), np.take_along_axis(hi, at, 2)
+        value = least + rng.random(least.shape) * (most - least)
+        features.append(np.where(wide.any(axis=2), chosen, -1))
+        cuts.append(value[..., 0])
         below, above = hi.copy(), lo.copy()
-        below[f] = above[f] = value
-        right = rows[:, f] >= value
-        todo.append((len(feature), rows[~right], lo, below, at + 1))
-        todo.append((len(feature) + 1, rows[right], above, hi, at + 1))
-        for column, start in ((feature, -1), (cut, 0.0), (left, 0), (path, 0.0)):
-            column += [start, start]
-    return np.array(feature), np.array(cut), np.array(left), np.array(path)
+        np.put_along_axis(below, at, value, 2)
+        np.put_along_axis(above, at, value, 2)
+        lo = np.stack([lo, above], axis=2).reshape(TREES, -1, lo.shape[2])
+        hi = np.stack([below, hi], axis=2).reshape(TREES, -1, hi.shape[2])
+    return np.concatenate(features, axis=1).astype(np.int8), np.concatenate(cuts, axis=1)
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, good_weight: float = GOOD_WEIGHT) -> float:
-    """The threshold above which documents are rejected.
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return features(np.stack([batch.column(s).to_numpy() for s in STATISTICS], axis=1))
+
+
+def _box(rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Least and largest value of every feature; None without a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch)
+                for f in range(x.shape[1]):
+                    yield pa.RecordBatch.from_pydict({"f": [f], "low": [x[:, f].min()], "high": [x[:, f].max()]})
+
+    edges = rows.mapInArrow(run, "f bigint, low double, high double").groupBy("f")
+    found = sorted(edges.agg(F.min("low"), F.max("high")).collect())
+    return (np.array([r[1] for r in found]), np.array([r[2] for r in found])) if found else None
+
+
+def _ends(rows: DataFrame, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """How many of the rows end at each place of each tree."""
+    places = (1 << DEPTH + 1) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros((TREES, places), np.int64)
+        for batch in batches:
+            x = _matrix(batch)
+            row = np.arange(len(x))
+            for t in range(TREES):
+                at = np.zeros(len(x), np.int64)
+                for _ in range(DEPTH):
+                    f = feature[t, at]
+                    at = np.where(f >= 0, 2 * at + 1 + (x[row, f] >= cut[t, at]), at)
+                count[t] += np.bincount(at, minlength=places)
+        used = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count.ravel()[used])], ["place", "n"])
+
+    ended = rows.mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    count = np.zeros(TREES * places, np.int64)
+    count[ended.column("place").to_numpy()] = ended.column("n").to_numpy()
+    return count.reshape(TREES, places)
+
+
+def calibrate(scored: DataFrame, good_weight: float = GOOD_WEIGHT) -> float:
+    """The threshold above which documents are rejected, from ``quality`` and ``score``.
 
     It makes most of the share of bad rows above it less ``good_weight`` times
-    the share of good rows above it; infinite if no threshold gains.
+    the share of good rows above it; infinite if no threshold gains. Scores are
+    counted up to each one within its bin, on from the bins before.
     """
-    if not len(scores) or good.all() or not good.any():
+    cuts = scored.groupBy("score").agg(
+        F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")
+    )
+    cuts = materialize(cuts.withColumn("bin", F.floor(F.col("score") * SCORE_BINS)), "cuts")
+    # at most SCORE_BINS + 1 rows in one window
+    earlier = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = cuts.groupBy("bin").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    before = bins.select("bin", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in "gb"])
+    total = cuts.agg(F.sum("good"), F.sum("bad")).first()
+    if not total[0] or not total[1]:
         return float("inf")
-    cuts = np.unique(scores)
-    above = lambda s: 1 - np.searchsorted(np.sort(s), cuts, side="right") / len(s)
-    gain = above(scores[~good]) - good_weight * above(scores[good])
-    best = int(gain.argmax())
-    if gain[best] <= 0:
+    upto = Window.partitionBy("bin").orderBy("score")
+    above = lambda c, n, all_rows: 1 - (F.col(n) + F.sum(c).over(upto)) / all_rows
+    gain = above("bad", "b", total[1]) - good_weight * above("good", "g", total[0])
+    gains = cuts.join(F.broadcast(before), "bin").select("score", gain.alias("gain"))
+    best = gains.orderBy(F.desc("gain"), "score").first()
+    if best["gain"] <= 0:
         return float("inf")
-    upper = cuts[best + 1] if best + 1 < len(cuts) else cuts[best]
-    return float((cuts[best] + upper) / 2)
+    upper = cuts.filter(F.col("score") > best["score"]).agg(F.min("score")).first()[0]
+    return (best["score"] + (best["score"] if upper is None else upper)) / 2
 
 
 def base_failed():
@@ -188,30 +265,36 @@ def base_failed():
     )
 
 
-def fit(statistics: DataFrame, labels: DataFrame, max_rows: int = LABELLED_ROWS):
-    """Forest and threshold from at most ``max_rows`` labelled rows that pass the base rule.
+def with_score(rows: DataFrame, forest: IsolationForest, name: str) -> DataFrame:
+    """``rows`` with the forest's score of their statistics in a column ``name``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = pa.array(forest.score(_matrix(batch)), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, name])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{fields}, {name} double")
+
+
+def fit(statistics: DataFrame, labels: DataFrame):
+    """Forest and threshold from all labelled rows that pass the base rule.
 
-    ``labels`` has ``doc_id`` and ``quality`` (1: good). The rows are those with
-    the smallest hashes, so that a rerun takes the same.
+    ``labels`` has ``doc_id`` and ``quality`` (1: good). The driver gets counts of
+    the nodes, whose number is bounded, and no rows.
     """
     known = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
-    usable = statistics.filter(~base_failed()).join(known, "doc_id")
-    usable = usable.withColumn("pick", F.xxhash64("doc_id", *STATISTICS, "quality"))
-    # tasks send about max_rows in all, not each
-    share = min(1.0, 1.2 * max_rows / max(usable.count(), 1))
-    picked = (
-        usable.filter(F.col("pick") <= F.lit(-(1 << 63) + int(share * (1 << 64)) - 1))
-        .orderBy("pick", "doc_id", "quality")
-        .limit(max_rows)
-        .select("quality", *STATISTICS)
-        .collect()
-    )
-    good = np.array([r[0] == 1 for r in picked], bool)
-    x = features(np.array([r[1:] for r in picked], np.int64).reshape(-1, len(STATISTICS)))
-    if not good.any():
+    usable = statistics.filter(~base_failed()).join(known, "doc_id").select("quality", *STATISTICS)
+    usable = materialize(usable, "labelled")
+    box = _box(usable)
+    if box is None:
+        return None, float("inf")
+    feature, cut = random_cuts(*box)
+    ends = _ends(usable.filter("quality = 1"), feature, cut)
+    if not ends.any():
         return None, float("inf")
-    forest = IsolationForest.grow(x[good], x.min(axis=0), x.max(axis=0))
-    return forest, calibrate(forest.score(x), good)
+    forest = IsolationForest.counted(feature, cut, ends)
+    return forest, calibrate(with_score(usable.select("quality", *STATISTICS), forest, "score"))
 
 
 def judge(
@@ -229,15 +312,7 @@ def judge(
             "kept", ~F.col("base_failed")
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.stack([batch.column(s).to_numpy() for s in STATISTICS], axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(forest.score(features(x)))], [*batch.schema.names, "anomaly"]
-            )
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema)
-    return stats.mapInArrow(run, f"{fields}, anomaly double").withColumn(
+    return with_score(stats, forest, "anomaly").withColumn(
         "kept", ~F.col("base_failed") & (F.col("anomaly") <= threshold)
     )
 
