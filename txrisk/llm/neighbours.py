@@ -39,6 +39,9 @@ EPOCHS = 30
 TARGET_RECALL = 0.96
 SEED = 5
 
+# Rows whose distances to the sample are held at once on the driver: 8 MB for the whole sample.
+NEAREST_BLOCK = 128
+
 # Rows of a block, which a task holds, and queries that it answers at once.
 BLOCK_ROWS = 4_096
 QUERIES_AT_ONCE = 1_024
@@ -56,7 +59,7 @@ def clean(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.filter(F.size("v") == (sizes["d"] if sizes else 0))
 
 
-def nearest_in(x: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
+def nearest_in(x: np.ndarray, k: int, block: int = NEAREST_BLOCK) -> np.ndarray:
     """The ``k`` nearest rows of each row of ``x``, itself left out."""
     square = (x * x).sum(axis=1)
     found = []

@@ -46,7 +46,7 @@ LONG_UNIT = 512
 # A list of the chunks that ask for a unit has 2^16 of them at most; more are answered in shares.
 LISTED_BITS = 16
 # Within a chunk, arrays over characters are made for so many bytes of text at a time.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -318,6 +318,9 @@ def encode(
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(units), chunk, np.int32)), units], ["chunk", "unit"]
             )
+            # the worker lives on beside the tasks that assemble
+            del found, units
+            pa.default_memory_pool().release_unused()
 
     # A chunk asks once for a unit, so nothing is to be gathered before the shuffle.
     # The lattice has dozens of rows for a unit; with four tasks for a chunk it is grouped in memory.
@@ -341,11 +344,17 @@ def encode(
             return binary(np.zeros(len(offsets)), pa.py_buffer(b""))
         return binary(np.frombuffer(parts.buffers()[1], np.int32)[offsets], parts.buffers()[2])
 
-    def answered(packed: pa.BinaryArray) -> pa.ListArray:
-        rows = packed.to_pylist()
-        values = np.frombuffer(b"".join(rows), f">u{pieces.id_bytes}").astype(np.int32)
-        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64) // pieces.id_bytes])
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+    def answered(packed: pa.ChunkedArray) -> pa.ListArray:
+        """The lists of ids, from the bytes as they lie."""
+        lists = [pa.array([], pa.list_(pa.int32()))]
+        for part in packed.chunks:
+            if not len(part):
+                continue
+            ends = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1]
+            data = np.frombuffer(part.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+            values = pa.array(data.view(f">u{pieces.id_bytes}").astype(np.int32))
+            lists.append(pa.ListArray.from_arrays(pa.array((ends - ends[0]) // pieces.id_bytes), values))
+        return pa.concat_arrays(lists)
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         borders, tables = Borders.of(pieces), []
