@@ -46,6 +46,23 @@ def test_odd_amounts_do_not_stop_totals(spark):
     assert dashboard.kpis(made.limit(0)).first().total_amount == 0.0
 
 
+@pytest.mark.parametrize("amounts, total", [
+    ([0.1, 0.2, None], 0.3), ([None], 0.0), ([1e25, 0.01], 1e25), ([1e40, 1e40, 3.0], 2e40),
+    ([1e40, 5.0, -1e40], 5.0), ([9e31, 9e31, 1.5], 1.8e32), ([NAN, 1.0], NAN),
+    ([float("inf"), 1.0], float("inf")), ([float("inf"), float("-inf")], NAN),
+    ([1.7e308, -1.7e308, 1.7e308], 1.7e308), ([1.7e308, 1.7e308], float("inf")),
+    ([5e-324, 2.0], 2.0), ([-3.0, 1.005], -2.0),
+])
+def test_total_of_a_whole_history(spark, amounts, total):
+    """Each finite amount twice and once with the other sign, in one task or many."""
+    every = [a for a in amounts for _ in range(2)] + [-a for a in amounts if a and math.isfinite(a)]
+    made = rows.enriched(spark, [dict(user_id="u", amount=a, risk_level="LOW") for a in every])
+    for tasks in (1, 5):
+        row = profiles.user_profile(made.repartition(tasks), "u", latest=None).first()
+        assert row.total_transactions == len(every)
+        assert row.total_amount == total or math.isnan(total) and math.isnan(row.total_amount)
+
+
 def test_pages_of_many_alerts(spark):
     """A million alerts are numbered in many tasks, each from the ranges before it."""
     alerts = spark.range(1_000_000).selectExpr(

@@ -1,6 +1,7 @@
 """Every registered query gives the rows of its SQL in another engine."""
 
 import compare
+import pyarrow.parquet as pq
 import pytest
 from conftest import SF_DIR
 
@@ -45,6 +46,31 @@ def test_hot_users_give_the_same_rows(spark, duck):
     assert compare.mismatch(result, duck, ORACLES["lake_roundtrip_silver"]) is None
 
 
+def test_profile_of_user_covers_every_row(spark, tmp_path):
+    """A user of 450 transactions, with alerts among the oldest only."""
+    made = {
+        "customer": (20, "id as c_custkey", "concat('c', id) as c_name",
+                     "cast(id % 3 as int) as c_nationkey", "100D as c_acctbal", "'A' as c_mktsegment"),
+        "nation": (3, "cast(id as int) as n_nationkey", "concat('n', id) as n_name", "0 as n_regionkey"),
+        "events": (500, "id as event_id",
+                   "timestamp_ntz'2024-01-01' + make_dt_interval(0, 3 * cast(id as int)) as ts",
+                   "if(id < 450, 10L, 11L) as user_id", "if(id < 150, 'error', 'view') as event_type",
+                   "double(id % 90) / 100 as value", "concat('{\"k\": ', id % 100, '}') as props"),
+        "orders": (20, "id as o_orderkey", "id as o_custkey", "'O' as o_orderstatus",
+                   "10D as o_totalprice", "timestamp_ntz'2024-01-02' as o_orderdate",
+                   "'5-LOW' as o_orderpriority"),
+    }
+    for name, (size, *columns) in made.items():
+        table = spark.range(0, size, 1, 1).selectExpr(*columns)
+        pq.write_table(table.toArrow(), tmp_path / f"{name}.parquet")
+    sql = contract.oracle_sql()["profile_of_user"]
+    profile = contract.queries()["profile_of_user"](spark, str(tmp_path))
+    assert compare.mismatch(profile, compare.connect(tmp_path), sql) is None
+    row = profile.first()
+    assert row.total_transactions == 450 and row.total_alerts > 0 and row.top_reasons
+    assert row.total_amount == sum(i % 90 for i in range(450)) / 100
+
+
 def test_entry(spark):
     ranked = contract.entry(spark)
     assert {"txn_id", "user_id", "risk_score", "risk_level", "risk_reasons", "decision"} <= set(

@@ -149,6 +149,25 @@ def test_profile_covers_the_latest_200(spark):
     assert profiles.user_profile(made, "u").first().asDict() == expected
 
 
+def test_profile_of_one_user_covers_every_row(spark):
+    start = rows.at("2026-05-20 00:00:00")
+    made = rows.enriched(spark, [
+        dict(txn_id=f"t{i:03d}", user_id="u" if i % 2 else "v", amount=1.005 if i >= 10 else 1000.0,
+             risk_score=90 if i < 10 else None, risk_level="HIGH" if i < 10 else "LOW",
+             risk_reasons=["NEW_DEVICE"], txn_ts=start + dt.timedelta(seconds=i))
+        for i in range(610)
+    ])
+    got = profiles.user_profile(made.repartition(7), "u", latest=None)
+    assert got.first().asDict() == dict(
+        user_id="u", total_transactions=305, total_alerts=5, max_risk_score=90,
+        total_amount=5301.5, top_reasons=["NEW_DEVICE"])
+    assert profiles.user_profile(made, "nobody", latest=None).count() == 0
+    # nothing is collected row by row: sums by the magnitude of the amount come together
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "collect_list(amount" not in plan
+    assert "collect_list(risk_reasons" not in plan
+
+
 def test_dashboard(spark, alerts):
     assert dashboard.kpis(alerts).first().asDict() == dict(
         total_amount=13900.0, critical_alerts=1, users_affected=2, loaded_alerts=3

@@ -213,10 +213,11 @@ _LATEST = (
     "AS recency FROM scored"
 )
 
-_PROFILE = f"""{_EVENT_SCORES}, latest AS (SELECT * FROM ({_LATEST}) WHERE recency <= 200),
-named AS (
+
+def _profile(rows, before=""):
+    return f"""{_EVENT_SCORES}, {before}named AS (
   SELECT DISTINCT user_id, unnest(string_split(risk_reasons, ',')) AS reason
-  FROM latest WHERE risk_level <> 'LOW'
+  FROM {rows} WHERE risk_level <> 'LOW'
 ),
 reasons AS (
   SELECT user_id, string_agg(reason, ',' ORDER BY reason) AS top_reasons FROM named
@@ -227,7 +228,7 @@ totals AS (
          count(*) FILTER (risk_level <> 'LOW') AS total_alerts,
          max(risk_score) AS max_risk_score,
          CAST(sum(CAST(amount AS decimal(18, 6))) AS double) AS exact_amount
-  FROM latest GROUP BY user_id
+  FROM {rows} GROUP BY user_id
 ),
 profile AS (
   SELECT t.user_id, total_transactions, total_alerts, max_risk_score,
@@ -235,6 +236,9 @@ profile AS (
   FROM totals t LEFT JOIN reasons r ON r.user_id = t.user_id
 )"""
 
+
+_PROFILE = _profile("latest", f"latest AS (SELECT * FROM ({_LATEST}) WHERE recency <= 200),\n")
+
 _ID = "CAST(substr(txn_id, 4) AS bigint)"
 
 
@@ -401,7 +405,8 @@ def sql() -> dict[str, str]:
             f"({_LATEST})",
             "WHERE recency <= 20 AND user_id = 'user_10'",
         ),
-        "profile_of_user": f"{_PROFILE} SELECT * FROM profile WHERE user_id = 'user_10'",
+        "profile_of_user": f"{_profile('scored')} SELECT * FROM profile "
+        "WHERE user_id = 'user_10'",
         "user_history_last20": _pick(
             _EVENT_SCORES,
             ("user_id", "recency", "txn_id", "txn_ts", "amount", "risk_score", "risk_level"),

@@ -57,7 +57,8 @@ class LakeReads:
         return serving.user_history(self._layer(lake.SILVER), user_id, limit)
 
     def risk_profile(self, user_id: str) -> DataFrame:
-        return profiles.user_profile(self._layer(lake.SILVER), user_id)
+        """Over every transaction of the user."""
+        return profiles.user_profile(self._layer(lake.SILVER), user_id, latest=None)
 
     def all_risk_profiles(self) -> DataFrame:
         return profiles.all_profiles(self._layer(lake.SILVER))
